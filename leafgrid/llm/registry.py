@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from leafgrid.llm import line_dedup, quality
+from leafgrid.llm import line_dedup, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_mixing": mixing.op4_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
