@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from leafgrid.llm import line_dedup, mixing, ngram_join, quality
+from leafgrid.llm import chat, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_mixing": mixing.op4_mixing,
+    "op5_chat_format": chat.op5_chat_format,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op7_sharding": sharding.op7_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
+    "op7_sharding": sharding.op7_sql(),
     "op9_quality_rules": quality.OP9_SQL,
 }
