@@ -1,3 +1,63 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): ...
+"""A corpus from quality rules to token ids, each stage on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafgrid.llm import common, line_dedup, mixing, ngram_join, quality, sentencepiece_codec
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines above their host's limit."""
+    return _counted(quality.apply_quality(docs), docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; a repeated line stays in its first document only."""
+    return _counted(line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text")), docs)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id.
+
+    Rows that share an id share its fate.
+    """
+    classes = ngram_join.similarity_classes(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document as often as it is taken, a part of it where a budget ends within it."""
+    return mixing.apply_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mixed documents."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_bytes())
+
+
+def _counted(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``; n_chars counts the text as it is now."""
+    if "n_chars" in like.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(dict(like.dtypes)["n_chars"]))
+    return df.select(*like.columns)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", join_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: SentencePiece encoding can't be said in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
