@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from leafgrid.llm import common, kernels
 
 #: Labelled documents that training takes, by hash of the id; words the models see; folds.
-SAMPLE, WORDS, FOLDS = 6000, 1024, 5
+SAMPLE, WORDS, FOLDS = 8000, 2048, 5
+#: Bytes of the beginnings of words that are features like the words themselves.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Distinct markers of each derived category, and the lift and count that make a word a marker.
 GRADES = {"repeated": 2, "severe": 4}
 LIFT, LEAST = 4.0, 8
@@ -55,13 +57,28 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct word hashes of each text, lower-cased, cut at white space and ASCII punctuation."""
+def features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words of all texts and of their beginnings of PREFIXES bytes (0: shorter words), and each text's first word.
+
+    Texts are lower-cased and cut at white space and ASCII punctuation.
+    """
     data, at = kernels.buffers(pc.utf8_lower(column.cast(pa.large_string())))
     starts, ends, first = kernels.runs(~_APART[data], at)
-    h = kernels.hash_runs(data, starts, ends)
-    for i in range(len(at) - 1):
-        yield np.unique(h[first[i] : first[i + 1]])
+    size = ends - starts
+    out = [kernels.hash_runs(data, starts, ends)]
+    for k in PREFIXES:
+        h = np.zeros(len(starts), dtype=np.uint64)
+        longer = size > k
+        h[longer] = kernels.hash_runs(data, starts[longer], starts[longer] + k) + np.uint64(k)
+        out.append(h)
+    return out, first
+
+
+def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted distinct feature hashes of each text."""
+    hashes, first = features(column)
+    for i in range(len(first) - 1):
+        yield np.unique(np.concatenate([h[first[i] : first[i + 1]] for h in hashes]))
 
 
 def presence(sets: Sequence[np.ndarray], words: np.ndarray) -> np.ndarray:
@@ -73,23 +90,36 @@ def presence(sets: Sequence[np.ndarray], words: np.ndarray) -> np.ndarray:
     return x
 
 
-def _fit(x: np.ndarray, p: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 2e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent: weights of x, of p, and the bias."""
+def _fit(x: np.ndarray, p: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent on scaled columns: weights of x, of p, and the bias."""
     n, d = x.shape
     if not n or y.min() == y.max():
         return np.zeros(d), np.zeros(p.shape[1]), 20.0 if n and y.min() == 1 else -20.0
-    step = 4 / (np.linalg.norm(x, axis=1) ** 2 + (p**2).sum(axis=1) + 1).mean()
-    w = np.zeros(d + p.shape[1] + 1)
+    rate = x.mean(axis=0, dtype=np.float64)
+    # a rare word counts as much as a common one
+    scale = np.concatenate([1 / np.sqrt(rate * (1 - rate) + 0.01), np.ones(p.shape[1]) * 4])
+    z = np.concatenate([(x - rate.astype(np.float32)) * scale[:d].astype(np.float32), (p - p.mean(axis=0)) * scale[d:]], axis=1, dtype=np.float32)
+    step = 4 / float(np.linalg.norm(z[:, :] @ _leading(z)) ** 2 / n + 1)
+    w = np.zeros(z.shape[1] + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     v = w.copy()
     for t in range(1, steps + 1):
-        z = x @ v[:d].astype(np.float32) + p @ v[d:-1] + v[-1]
-        err = _sigmoid(z) - y
-        grad = np.concatenate([err.astype(np.float32) @ x, err @ p, [err.sum()]]) / n
+        err = _sigmoid(z @ v[:-1].astype(np.float32) + v[-1]) - y
+        grad = np.append(err.astype(np.float32) @ z, err.sum()) / n
         grad[:-1] += ridge * v[:-1]
         new = v - step * grad
         v, w = new + (t - 1) / (t + 2) * (new - w), new
-    return w[:d], w[d:-1], float(w[-1])
+    out = w[:-1] * scale
+    return out[:d], out[d:], float(w[-1] - out[:d] @ rate - out[d:] @ p.mean(axis=0))
+
+
+def _leading(z: np.ndarray) -> np.ndarray:
+    """The direction in which the rows spread most, by power iteration."""
+    v = np.ones(z.shape[1], dtype=np.float32) / np.sqrt(max(1, z.shape[1]))
+    for _ in range(12):
+        v = (z @ v) @ z
+        v /= max(float(np.linalg.norm(v)), 1e-12)
+    return v
 
 
 def markers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -162,14 +192,13 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         c = shared.value
         for b in batches:
             for p in kernels.pieces(b, "text"):
-                data, at = kernels.buffers(pc.utf8_lower(p.column("text").cast(pa.large_string())))
-                starts, ends, first = kernels.runs(~_APART[data], at)
-                h = kernels.hash_runs(data, starts, ends)
+                hashes, first = features(p.column("text"))
                 x = np.zeros((p.num_rows, len(c.words)), dtype=np.float32)
-                if len(c.words):
+                owner = np.repeat(np.arange(p.num_rows), np.diff(first))
+                for h in hashes if len(c.words) else ():
                     where = np.minimum(np.searchsorted(c.words, h), len(c.words) - 1)
                     hit = c.words[where] == h
-                    x[np.repeat(np.arange(p.num_rows), np.diff(first))[hit], where[hit]] = 1
+                    x[owner[hit], where[hit]] = 1
                 prob = c.score(x)
                 yield pa.RecordBatch.from_pydict({"id": p.column("id")} | {n: pa.array(prob[:, j]) for j, n in enumerate(names)})
 
