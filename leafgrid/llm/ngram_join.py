@@ -37,6 +37,8 @@ from leafgrid.llm import common, kernels
 SKETCH = 1 << 21
 #: Expected members of one part of a hot list.
 PART = 4096
+#: Bits of a bitmap over ids, 4 MB whatever their number.
+BITS = 1 << 25
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -124,51 +126,56 @@ def _stream_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield out(pa.Table.from_batches(kept))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = kernels.mix(ids.view(np.uint64)) % np.uint64(BITS)
+    return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap over hashed ids, of fixed size.  It only spares work: what it lets through wrongly, a join or a check drops."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        seen = np.zeros(BITS // 8, dtype=np.uint8)
         for b in batches:
-            x, y = b.column("x"), b.column("y")
-            ok = np.zeros(b.num_rows, dtype=bool)
-            for i in range(b.num_rows):
-                s, t = (np.frombuffer(v[i].as_py(), np.uint64) for v in (x, y))
-                k = len(s) + len(t) - len(np.union1d(s, t))
-                ok[i] = 100 * k >= percent * (len(s) + len(t) - k)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+            byte, bit = _bits(b.column("id").to_numpy())
+            np.bitwise_or.at(seen, byte, bit)
+        return seen
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return common.merged(ids.select("id"), mark, BITS // 8, "uint8", "or")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted (id, node) rows.
+def _among(b: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    byte, bit = _bits(b.column("id").to_numpy())
+    return b.filter(pa.array((seen[byte] & bit) > 0))
 
-    A bitmap over the wanted ids, 4 MB whatever their number, keeps the texts of
-    most other documents out of the shuffle; the join settles the rest.
-    """
-    bits = 1 << 25
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        seen = np.zeros(bits // 8, dtype=np.uint8)
-        for b in batches:
-            at = kernels.mix(b.column("id").to_numpy().view(np.uint64)) % np.uint64(bits)
-            np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        return seen
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link, from the whole texts of one document of each class.
 
-    seen = docs.sparkSession.sparkContext.broadcast(common.merged(wanted.select("id"), mark, bits // 8, "uint8", "or"))
+    Texts are shorter than their shingle hashes, so texts travel and the sets
+    are made where a pair meets.
+    """
+    wanted = common.materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(classes.select("node", "id"), "node"), "wanted")
+    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    some = docs.mapInArrow(lambda it: (_among(b, seen.value) for b in it), "id long, text string")
+    texts = common.materialize(some.join(wanted, "id").select("node", "text"), "texts")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = kernels.mix(b.column("id").to_numpy().view(np.uint64)) % np.uint64(bits)
-            hit = (seen.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            b = b.filter(pa.array(hit.astype(bool)))
-            for p in kernels.pieces(b, "text"):
-                found = [(i, s) for i, s in zip(p.column("id").to_pylist(), kernels.shingle_sets(p.column("text"), k), strict=True) if len(s)]
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in found], pa.int64()), "node": pa.array([_prints(s, len(s))[1] for _, s in found], pa.int64()), "shingles": pa.array([s.tobytes() for _, s in found], pa.binary())})
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, sure = None, None, False
+        for b in (p for whole in batches for p in kernels.pieces(whole, "x")):
+            ok = np.zeros(b.num_rows, dtype=bool)
+            nodes = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
+            for i, ((a, node), s) in enumerate(zip(nodes, kernels.shingle_sets(b.column("x"), k), strict=True)):
+                if node != last:  # rows of a node follow each other
+                    last, own = node, next(kernels.shingle_sets(b.column("y").slice(i, 1), k))
+                    sure = _prints(own, len(own))[1] == node
+                n = len(np.intersect1d(s, own, assume_unique=True))
+                # two texts under one id: the other one is no member of the class
+                ok[i] = sure and _prints(s, len(s))[1] == a and 100 * n >= percent * (len(s) + len(own) - n)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-    found = docs.mapInArrow(scan, "id long, node long, shingles binary")
-    return found.join(wanted.select("id", "node"), ["id", "node"]).dropDuplicates(["node"]).select("node", "shingles")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -221,66 +228,59 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict({"id": piece.column("id")} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
 
     signed = common.materialize(known.mapInArrow(sign, "id long, n int, high long, node long, grp long, prefix binary, parts binary"), "signed")
-    # classes of equal sets, groups of equal prefix and size
+    # classes of equal sets, groups of equal prefix and size; every document's group
     classes = common.materialize(signed.where("n > 0").groupBy("node", "high", "grp", "n").agg(F.min("id").alias("id")), "classes")
-    groups = classes.groupBy("grp", "n").agg(F.min(F.struct("node", "id")).alias("first"), F.count(F.lit(1)).alias("members")).select("grp", "n", "first.node", "first.id", "members")
+    groups = common.materialize(classes.groupBy("grp", "n").agg(F.min(F.struct("node", "id")).alias("first"), F.count(F.lit(1)).alias("members")).select("grp", "n", "first.node", "first.id", "members"), "groups")
+    shown = docs.sparkSession.sparkContext.broadcast(_bitmap(groups))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = _among(b, shown.value)
             for i in range(0, b.num_rows, 512):
                 piece = b.slice(i, 512)
                 prefix = [np.frombuffer(x.as_py(), np.uint64) for x in piece.column("prefix")]
                 size = np.array([len(x) for x in prefix], dtype=np.int64)
-                if not len(size):
-                    continue
-                node = np.repeat(piece.column("node").to_numpy(), size)
+                ids = np.repeat(piece.column("id").to_numpy(), size)
                 n = np.repeat(piece.column("n").to_numpy(), size)
                 p = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
                 parts = np.concatenate([np.ones(k, np.int32) if x is None else np.frombuffer(x, np.int32) for k, x in zip(size, piece.column("parts").to_pylist(), strict=True)])
-                part = np.where(parts > 1, 1 + (kernels.mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "node": pa.array(node), "n": pa.array(n), "p": pa.array(p)})
+                part = np.where(parts > 1, 1 + (kernels.mix(ids.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "id": pa.array(ids), "n": pa.array(n), "p": pa.array(p)})
 
-    heads = signed.where("n > 0").join(groups.select("node", "id"), ["node", "id"]).dropDuplicates(["node"])
-    posts = heads.select("node", "n", "prefix", "parts").mapInArrow(post, "token long, part int, node long, n int, p int")
+    posts = signed.where("n > 0").select("id", "n", "prefix", "parts").mapInArrow(post, "token long, part int, id long, n int, p int")
     # lists with two members or more, each with its first member; parts of hot lists count from 1 and may have one
-    listed = posts.select("token", "part", F.struct("node", "n", "p").alias("m")).repartition("token", "part")
     over = Window.partitionBy("token", "part")
-    starred = listed.withColumns({"c": F.min("m").over(over), "k": F.count(F.lit(1)).over(over)})
-    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "m.node", "m.n", "m.p", "c"), "lists")
+    starred = posts.withColumns({"c": F.min(F.struct("id", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
+    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "id", "n", "p", "c"), "lists")
     # the first members of a hot list's parts meet at the first of them
-    split = lists.where("part > 0 and node = c.node").select("token", "c")
+    split = lists.where("part > 0 and id = c.id").select("token", "c")
     tops = split.groupBy("token").agg(F.min("c").alias("t"))
-    stars = lists.select(F.struct("node", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
+    stars = lists.select(F.struct("id", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
     fits = f"100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n) and least(m.n - m.p, c.n - c.p) * {100 + percent} >= {percent} * (m.n + c.n)"
-    stars = stars.where("m.node <> c.node").where(fits).select(F.least("m.node", "c.node").alias("a"), F.greatest("m.node", "c.node").alias("b"))
+    stars = stars.where("m.id <> c.id").where(fits).select("m.id", "m.n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")).distinct()
+    # ids to the first classes of their groups
+    heads = signed.where("n > 0").select("id", "grp", "n").join(groups.select("grp", "n", F.col("node").alias("head"), "members"), ["grp", "n"]).distinct()
+    stars = stars.join(heads.select("id", "n", F.col("head").alias("x")), ["id", "n"]).join(heads.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("head").alias("y")), ["cid", "cn"])
+    stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # members of a group: their prefixes agree, so the star's centre is the group's first
-    inner = classes.join(groups.where("members > 1").select("grp", "n", F.col("node").alias("head")), ["grp", "n"])
-    within = inner.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    several = groups.where("members > 1").select("grp", "n", F.col("node").alias("head"))
+    within = classes.join(several, ["grp", "n"]).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     first = common.materialize(stars.union(within).distinct(), "stars")
-
-    # whole sets of all classes that are a candidate at all
-    busy = lists.select("node").union(inner.select("node")).distinct()
-    grouped = classes.join(busy, "node").select("grp", "n").distinct()
-    wanted = common.materialize(classes.join(grouped, ["grp", "n"]).select("id", "node"), "wanted")
-    sets = common.materialize(_sets_of(known, wanted, words), "sets")
-    links = common.materialize(_verified(first, sets, percent), "links")
+    links = common.materialize(_verified(first, known, classes, words, percent), "links")
     labels = common.components(links)
 
     # lists that still hold several components, group by group expanded to their members
-    members = classes.join(labels, "node", "left").select("grp", "n", "node", F.coalesce("label", "node").alias("label"))
-    members = common.materialize(members.join(grouped, ["grp", "n"]), "members")
-    heads = members.join(groups.select("grp", "n", F.col("node").alias("head")), ["grp", "n"])
-    own = members.join(groups.where("members > 1").select("grp", "n"), ["grp", "n"]).selectExpr("grp as token", "0 as part", "node", "label", "n", "0 as p")
-    rows = lists.select("token", "part", F.col("node").alias("head"), "p").join(heads.select("head", "node", "label", "n"), "head").select("token", "part", "node", "label", "n", "p").union(own)
-    rows = common.materialize(rows, "rows")
+    members = common.materialize(classes.join(labels, "node", "left").select("grp", "n", "node", F.coalesce("label", "node").alias("label")), "members")
+    own = members.join(several.select("grp", "n"), ["grp", "n"]).selectExpr("grp as token", "0 as part", "node", "label", "n", "0 as p")
+    expand = heads.select("id", "grp", "n").join(members, ["grp", "n"]).select("id", "n", "node", "label")
+    rows = common.materialize(lists.select("token", "part", "id", "n", "p").join(expand, ["id", "n"]).select("token", "part", "node", "label", "n", "p").union(own), "rows")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top")).where("lo <> hi").select("token", "top")
-    open_rows = rows.join(mixed, "token")
     # every part meets itself and every other part of its list once
-    met = open_rows.selectExpr("token", "node", "label", "n", "p", "part as side", "explode(sequence(if(top > 0, 1, 0), top)) as x").selectExpr("token", "least(side, x) as part", "greatest(side, x) as other", "node", "label", "n", "p", "side")
+    met = rows.join(mixed, "token").selectExpr("token", "node", "label", "n", "p", "part as side", "explode(sequence(if(top > 0, 1, 0), top)) as x").selectExpr("token", "least(side, x) as part", "greatest(side, x) as other", "node", "label", "n", "p", "side")
     key = ["token", "part", "other"]
     more = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it: _stream_pairs(it, percent), "a long, b long")
     second = common.materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "second")
-    extra = common.materialize(_verified(second, sets, percent), "links")
+    extra = common.materialize(_verified(second, known, classes, words, percent), "links")
     merged = common.components(links.union(extra)).withColumnRenamed("node", "of")
 
     classed = classes.join(merged, F.col("node") == F.col("of"), "left").select("node", "high", "id", F.coalesce("label", "node").alias("label"))
