@@ -29,6 +29,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Distinct markers of each derived category, and the lift and count that make a word a marker.
 GRADES = {"repeated": 2, "severe": 4}
 LIFT, LEAST = 4.0, 8
+#: Least chi-squared between a word and the label for the models to see it: chance reaches it once in about 3,000 words.
+GAIN = 13.0
 
 _APART = kernels.SPACE.copy()
 _APART[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -140,7 +142,8 @@ def train(sets: Sequence[np.ndarray], toxic: np.ndarray, folds: np.ndarray, word
     # how far each word's count among positives is from what its total suggests
     rate = y.mean() if len(y) else 0.0
     gain = np.where(total >= 4, (pos - rate * total) ** 2 / np.maximum(total * rate * (1 - rate), 1e-9), -1)
-    vocabulary = np.sort(pool[np.argsort(-gain, kind="stable")[:words]])
+    best = np.argsort(-gain, kind="stable")[:words]
+    vocabulary = np.sort(pool[best[gain[best] >= GAIN]])
     x = presence(sets, vocabulary)
     k = len(names)
     chain = Chain(names, vocabulary, np.zeros((k, len(vocabulary))), np.zeros((k, k)), np.zeros(k))
