@@ -40,7 +40,7 @@ def claim_cells(pdf: pd.DataFrame, most: float = 0.85, taken: float = 0.5) -> pd
 
 
 def claimed_tables(cells: DataFrame, page: str = PAGE) -> DataFrame:
-    return cells.groupBy(page).applyInPandas(claim_cells, cells.schema)
+    return cells.groupBy(page).applyInPandas(lambda pdf: claim_cells(pdf), cells.schema)
 
 
 def assign_columns(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +109,7 @@ def merge_fresh(pdf: pd.DataFrame, gap: float = 3.0) -> pd.DataFrame:
 
 
 def merged_words(words: DataFrame, page: str = PAGE) -> DataFrame:
-    return words.groupBy(page).applyInPandas(merge_fresh, words.schema)
+    return words.groupBy(page).applyInPandas(lambda pdf: merge_fresh(pdf), words.schema)
 
 
 def insert_all(pdf: pd.DataFrame) -> pd.DataFrame:
