@@ -92,3 +92,14 @@ def largest(items: DataFrame, k: int, key: list[str], page: str = PAGE) -> DataF
     """The k largest boxes of each page, with their rank from 1."""
     rank = F.row_number().over(Window.partitionBy(page).orderBy(G.area(G.box()).desc(), *key))
     return items.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def text_shaped(b: G.Box, size: Column) -> Column:
+    """Whether a box has the shape of a line or a few lines of text of this size."""
+    w, h = b[2] - b[0], b[3] - b[1]
+    return ((h * 10 <= size * 26) & (w * 2 >= h * 3)) | ((h <= size * 6) & (w * 2 >= h * 5))
+
+
+def uses_background(setting: Column, decorative: Column, has_raw: Column) -> Column:
+    """Whether the page's image stands behind its text: asked for, or left to choose and the page is decorated."""
+    return has_raw & ((setting == "on") | ((setting == "auto") & decorative))

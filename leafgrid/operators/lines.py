@@ -148,3 +148,19 @@ def in_order(order: str, value: str, glue: str) -> Column:
 def export_text(blocks: DataFrame, page: str = PAGE, order: str = "block") -> DataFrame:
     """(page, text): the page's blocks, an empty line between them."""
     return blocks.groupBy(page).agg(in_order(order, "text", "\n\n").alias("text"))
+
+
+def reflow(blocks: DataFrame, key: list[str], inset: float = 4.0) -> DataFrame:
+    """(key, row_no, text) of edited blocks, wrapped to their ``room``; ``em`` is a character's width in sizes.
+
+    Words go to a row while it has room; a word longer than a row stands alone.
+    Wrapping sees the row so far, so it is a fold over each block's words.
+    """
+    limit = (F.col("room") - 2 * inset) / (F.col("size") * F.col("em"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    start = F.array().cast("array<string>")
+    rows = F.aggregate(
+        words, start,
+        lambda a, w: F.when((F.size(a) > 0) & (F.char_length(F.try_element_at(a, F.lit(-1))) + 1 + F.char_length(w) <= limit), F.concat(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.concat(F.try_element_at(a, F.lit(-1)), F.lit(" "), w)))).otherwise(F.concat(a, F.array(w))),
+    )
+    return blocks.select(*key, F.posexplode(rows).alias("row_no", "text"))

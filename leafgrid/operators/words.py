@@ -129,3 +129,32 @@ def placed(words: DataFrame, line: list[str] = LINE) -> DataFrame:
     nxt = F.lead("x0").over(Window.partitionBy(*line).orderBy("word_no"))
     room = F.coalesce((nxt - F.col("x0")).cast("double"), (F.col("x1") - F.col("x0")) * 1.1 + F.col("x_size") * 0.1)
     return words.withColumn("squeeze", F.least(F.lit(100.0), F.greatest(F.lit(70.0), 100 * room / F.col("need"))))
+
+
+def readable(word: Column, conf: Column, tentative: Column) -> Column:
+    """Whether recovered text can be read: sure enough, or tentative and an alphabetic word of two letters or more once punctuation is off.
+
+    Tentative words should also pass ``left_semi`` against the lexicon's forms.
+    """
+    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return ((conf >= 60) & word.rlike(WORD_CHAR)) | (tentative & T.alphabetic(bare) & (F.char_length(bare) >= 2))
+
+
+def inside_figures(words: DataFrame, line: list[str] = LINE) -> DataFrame:
+    """Words read inside figures that are text: sure, plausible, two characters or more, in lines of two such words with a mean confidence of 80."""
+    bare = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    fine = words.where((F.col("conf") >= 70) & (F.char_length(bare) >= 2) & plausible(F.col("word")) & F.col("word").rlike(WORD_CHAR))
+    w = Window.partitionBy(*line)
+    told = fine.withColumns({"n": F.count(F.lit(1)).over(w), "sure": F.sum("conf").over(w)})
+    return told.where((F.col("n") >= 2) & (F.col("sure") >= 80 * F.col("n"))).drop("n", "sure")
+
+
+def shows_original(word: Column, conf: Column, edited: Column) -> Column:
+    """Whether the page's own pixels are shown in place of a word: unsure, not alphabetic, in a block nobody edited."""
+    bare = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return ~edited & (conf < 30) & ~T.alphabetic(bare)
+
+
+def proper(core: Column) -> Column:
+    """A capitalised word, hyphens apart."""
+    return core.rlike(r"^\p{Lu}[\p{L}-]*$")

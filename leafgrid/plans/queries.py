@@ -11,6 +11,7 @@ from leafgrid.functions import geometry as G
 from leafgrid.operators import boxes as B
 from leafgrid.operators import lines as L
 from leafgrid.operators import words as W
+from leafgrid.plans import assembly
 from leafgrid.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,3 +349,9 @@ SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY grp) AS text FROM (S
 def export_text(spark, d):
     blocks = fx.lines(spark, d).groupBy("doc_id", F.col("grp").alias("block")).agg(L.in_order("line_no", "text", "\n").alias("text"))
     return L.export_text(blocks)
+
+
+@query()
+def page_assembly(spark, d):
+    """The whole chain; its steps have their SQL above."""
+    return assembly.assemble(fx.words(spark, d).drop("bold"), fx.cells(spark, d), fx.figures(spark, d))

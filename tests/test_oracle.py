@@ -24,7 +24,7 @@ def rows(df):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in df.astype(object).where(df.notna(), None).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(page_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(page_queries.SQL))
 def test_query_equals_sql(spark, duck, name):
     mine = page_queries.QUERIES[name](spark, DIR).toPandas()
     want = duck.execute(page_queries.SQL[name]).df()
@@ -37,3 +37,11 @@ def test_entry_imports_and_runs(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_assembly_covers_the_kept_words(spark):
+    blocks = page_queries.QUERIES["page_assembly"](spark, DIR).toPandas()
+    assert len(blocks) and not blocks.duplicated(["doc_id", "block"]).any() and not blocks.duplicated(["doc_id", "place"]).any()
+    assert set(blocks["align"]) <= {"left", "right", "center", "justify"} and blocks["size"].gt(0).all()
+    docs = {r["doc_id"]: set(r["text"].split()) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert all(set(t.split()) <= docs[d] for d, t in zip(blocks["doc_id"], blocks["text"], strict=True))

@@ -259,3 +259,41 @@ def test_random_islands_against_a_loop(spark):
         rows += lines
     got = L.islands(spark.createDataFrame(rows, "grp long, line_no long, baseline long, x_size long"), ["grp"]).collect()
     assert {(r["grp"], r["line_no"]): r["block_no"] for r in got} == want
+
+
+def test_word_and_box_predicates(spark):
+    from leafgrid.operators import boxes as B
+
+    rows = [(1, 0, 0, "(chữ)", 20, True), (1, 0, 1, "ab", 90, False), (1, 0, 2, "漢字", 99, False), (1, 0, 3, "cd", 75, False), (1, 1, 0, "ef", 99, False), (1, 2, 0, "..", 10, True)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no long, word_no long, word string, conf long, tentative boolean")
+    assert [r["word"] for r in df.where(W.readable(F.col("word"), F.col("conf"), F.col("tentative"))).orderBy("line_no", "word_no").collect()] == ["(chữ)", "ab", "漢字", "cd", "ef"]
+    assert sorted(r["word"] for r in W.inside_figures(df).collect()) == ["ab", "cd"]
+    assert [r["word"] for r in df.where(W.shows_original(F.col("word"), F.col("conf"), F.lit(False))).collect()] == [".."]
+    assert spark.range(1).select(W.proper(F.lit("Bà-Rịa")).alias("a"), W.proper(F.lit("bà")).alias("b")).first()[:] == (True, False)
+    box = lambda w, h: (F.lit(0), F.lit(0), F.lit(w), F.lit(h))
+    r = spark.range(1).select(*[B.text_shaped(box(w, h), F.lit(10)).alias(f"c{w}_{h}") for w, h in ((60, 26), (30, 26), (150, 60), (150, 70))], B.uses_background(F.lit("auto"), F.lit(True), F.lit(True)).alias("u")).first()
+    assert r[:] == (True, False, True, False, True)
+
+
+def test_reflow_wraps_by_room(spark):
+    df = spark.createDataFrame([(1, "aa bb cccccccccccc dd", 38.0, 10.0, 0.5)], "block long, text string, room double, size double, em double")
+    got = [r["text"] for r in L.reflow(df, ["block"]).orderBy("row_no").collect()]
+    assert got == ["aa bb", "cccccccccccc", "dd"]
+
+
+def test_light_margins_and_masks():
+    page = page_image()
+    shade = np.linspace(0.5, 1, 600)[None, :, None]
+    dim = (page * shade).astype(np.uint8)
+    even = K.even_light(dim)
+    assert even[20, 100].min() > 235 and even[65, 45].max() < 60
+    dark = page.copy()
+    dark[:15] = 20
+    trimmed = K.trim_margins(dark)
+    assert (trimmed[:15] == 255).all() and (trimmed[15:] == page[15:]).all()
+    found = K.rules(K.binarize(K.gray(page)))[2]
+    assert K.rule_is_ink(page, found[0]) and not K.rule_is_ink(np.full_like(page, 200), found[0])
+    mask = K.text_mask(page, [(36, 55, 70, 75)])
+    assert mask[65, 45] == 255 and mask[300, 45] == 0
+    assert not K.decorative(page, mask, []) and K.decorative(np.full((50, 50, 3), (200, 150, 240), np.uint8), np.zeros((50, 50), np.uint8), [])
+    assert K.quarter_turned(page, 90).shape[:2] == (600, 700) and (K.quarter_turned(K.quarter_turned(page, 90), 270) == page).all()
