@@ -44,7 +44,8 @@ def mark_bold(words: DataFrame, page: str = PAGE, line: str = "line_no") -> Data
     more, five at least.  A word is bold above 1.25 references (1.6 in lines of
     single characters).  Lines of three words or more with even strokes are
     decided as one, lines three quarters bold are bold, and elsewhere a weak bold
-    (below 1.3) needs a bold neighbour.
+    (below 1.3) needs a bold neighbour.  Limits have a slack of 1e-6 against the
+    rounding of percentiles.
     """
     long = F.col("chars") >= 3
     told = words.withColumn("chars", F.char_length("word"))
@@ -52,13 +53,13 @@ def mark_bold(words: DataFrame, page: str = PAGE, line: str = "line_no") -> Data
     w = Window.partitionBy(page, line)
     told = told.join(ref, page, "left").withColumns({"n": F.count(F.lit(1)).over(w), "longest": F.max("chars").over(w), "middle": F.median("ratio").over(w), "spread": F.max("ratio").over(w) - F.min("ratio").over(w)})
     limit = F.when(F.col("longest") >= 2, 1.25).otherwise(1.6)
-    told = told.withColumn("raw", F.coalesce(F.col("ratio") > limit * F.col("ref"), F.lit(False)))
+    told = told.withColumn("raw", F.coalesce(F.col("ratio") > limit * F.col("ref") + 1e-6, F.lit(False)))
     even = (F.col("n") >= 3) & (F.col("spread") < 0.25 * F.col("middle"))
     share = F.sum(F.col("raw").cast("long")).over(w)
     o = w.orderBy("word_no")
     beside = F.coalesce(F.lag("raw").over(o), F.lit(False)) | F.coalesce(F.lead("raw").over(o), F.lit(False))
-    weak = F.col("ratio") < 1.3 * F.col("ref")
-    bold = F.when(even, F.coalesce(F.col("middle") > limit * F.col("ref"), F.lit(False))).when(share * 4 >= F.col("n") * 3, True).otherwise(F.col("raw") & (~weak | beside))
+    weak = F.col("ratio") < 1.3 * F.col("ref") - 1e-6
+    bold = F.when(even, F.coalesce(F.col("middle") > limit * F.col("ref") + 1e-6, F.lit(False))).when(share * 4 >= F.col("n") * 3, True).otherwise(F.col("raw") & (~weak | beside))
     return told.withColumn("bold", bold).drop("chars", "ref", "n", "longest", "middle", "spread", "raw")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafgrid.operators import boxes as B
 from leafgrid.operators import lines as L
 from leafgrid.operators import words as W
+from leafgrid.tables import materialize
 
 PAGE = "doc_id"
 
@@ -22,19 +23,21 @@ def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFram
     and heading level.
     """
     key = [PAGE, "line_no", "word_no"]
-    free = B.outside(words, cells)
+    # each step reads what is before it more than once, so the plan is cut where that would multiply
+    free = materialize(B.outside(words, cells), "words")
     free = B.flagged(free, figures, "in_figure", key)
-    free = B.flagged(free, figures.where("photo"), "in_photo", key)
+    free = materialize(B.flagged(free, figures.where("photo"), "in_photo", key), "flagged")
     written = W.handwritten(free).select(*key).distinct().withColumn("written", F.lit(True))
     free = free.join(written, key, "left").withColumns({"written": F.coalesce("written", F.lit(False)), "pen": F.lit(False)})
-    kept = L.mark_bold(W.trim_leading(W.drop_noise(W.keep(free))))
+    clean = materialize(W.trim_leading(W.drop_noise(W.keep(free))), "clean")
+    kept = L.mark_bold(clean)
     cut = W.segments(kept)
     lines = cut.groupBy(PAGE, "line_no", "seg_no").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("x_size").alias("x_size"), W.joined().alias("text"),
         (F.sum(F.when(F.col("bold"), F.char_length("word")).otherwise(0)) * 5 >= F.sum(F.char_length("word")) * 3).alias("bold"),
     )
     # columns are segments of the same number; blocks are islands of their lines
-    blocked = L.islands(lines.withColumn("baseline", F.col("y1")), [PAGE, "seg_no"])
+    blocked = materialize(L.islands(lines.withColumn("baseline", F.col("y1")), [PAGE, "seg_no"]), "blocked")
     block = [PAGE, "seg_no", "block_no"]
     told = blocked.groupBy(*block).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("x_size").alias("x_size"), F.count(F.lit(1)).alias("n_lines"),
@@ -45,4 +48,5 @@ def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFram
     aligned = L.alignment(blocked.join(bounds, PAGE).withColumn("tol", F.col("x_size")), block)
     full = told.join(sized, block).join(aligned, block)
     full = full.withColumn("block", F.row_number().over(Window.partitionBy(PAGE).orderBy("seg_no", "block_no")).cast("long") - 1)
-    return L.headings(L.block_order(full)).select(PAGE, "block", "place", "text", "align", "size", "level", "bold")
+    full = materialize(L.block_order(full), "blocks")
+    return L.headings(full).select(PAGE, "block", "place", "text", "align", "size", "level", "bold")

@@ -263,9 +263,9 @@ def bold_majority(spark, d):
 
 @query(fx.sql("""
 SELECT doc_id, line_no, word_no FROM (
-  SELECT *, CASE WHEN n >= 3 AND spread < 0.25 * mid THEN coalesce(mid > lim * ref, false) WHEN share * 4 >= n * 3 THEN true
-    ELSE raw AND (NOT (ratio < 1.3 * ref) OR coalesce(lag(raw) OVER w, false) OR coalesce(lead(raw) OVER w, false)) END AS b
-  FROM (SELECT *, sum(raw::INT) OVER (PARTITION BY doc_id, line_no) AS share FROM (SELECT *, coalesce(ratio > lim * ref, false) AS raw FROM (
+  SELECT *, CASE WHEN n >= 3 AND spread < 0.25 * mid THEN coalesce(mid > lim * ref + 1e-6, false) WHEN share * 4 >= n * 3 THEN true
+    ELSE raw AND (NOT (ratio < 1.3 * ref - 1e-6) OR coalesce(lag(raw) OVER w, false) OR coalesce(lead(raw) OVER w, false)) END AS b
+  FROM (SELECT *, sum(raw::INT) OVER (PARTITION BY doc_id, line_no) AS share FROM (SELECT *, coalesce(ratio > lim * ref + 1e-6, false) AS raw FROM (
     SELECT *, CASE WHEN longest >= 2 THEN 1.25 ELSE 1.6 END AS lim FROM s))) WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY word_no)) WHERE b""", "words", more="""
 r AS (SELECT doc_id, quantile_cont(ratio, 0.3) AS ref FROM words WHERE length(word) >= 3 GROUP BY 1 HAVING count(*) >= 5),
 s AS (SELECT w.*, r.ref, count(*) OVER l AS n, max(length(word)) OVER l AS longest, median(ratio) OVER l AS mid, max(ratio) OVER l - min(ratio) OVER l AS spread
