@@ -45,6 +45,8 @@ class Chain:
     weights: np.ndarray
     links: np.ndarray
     bias: np.ndarray
+    #: Probability of the first category from which a document counts as such.
+    threshold: float = 0.5
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of all categories of rows of word presence."""
@@ -146,9 +148,22 @@ def learn(x: np.ndarray, toxic: np.ndarray, folds: np.ndarray, words: np.ndarray
             w, c, b = _fit(x[seen], oof[seen, :j], target[seen])
             oof[~seen, j] = _sigmoid(x[~seen] @ w + oof[~seen, :j] @ c + b)
         chain.weights[j], chain.links[j, :j], chain.bias[j] = _fit(x, oof[:, :j], target)
+    chain.threshold = cut(oof[:, 0], y)
     return chain
 
 
+def cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold with the best F1 on out-of-fold probabilities, midway to the next lower one, within 0.1 and 0.9; 0.5 without positives."""
+    if not y.sum():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(y[order])
+    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    best = int(np.flatnonzero(f1 == f1.max())[-1])
+    below = p[order[best + 1]] if best + 1 < len(p) else 0.0
+    return float(np.clip((p[order[best]] + below) / 2, 0.1, 0.9))
+
+
 def telling_words(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the features whose counts among positive rows are farthest from what their totals suggest (chi-squared).
 
@@ -317,9 +332,22 @@ def train(sets: Sequence[np.ndarray], toxic: np.ndarray, folds: np.ndarray, word
             w, c, b = _fit(x[seen], oof[seen, :j], target[seen])
             oof[~seen, j] = _sigmoid(x[~seen] @ w + oof[~seen, :j] @ c + b)
         chain.weights[j], chain.links[j, :j], chain.bias[j] = _fit(x, oof[:, :j], target)
+    chain.threshold = cut(oof[:, 0], y)
     return chain
 
 
+def cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold with the best F1 on out-of-fold probabilities, midway to the next lower one, within 0.1 and 0.9; 0.5 without positives."""
+    if not y.sum():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(y[order])
+    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    best = int(np.flatnonzero(f1 == f1.max())[-1])
+    below = p[order[best + 1]] if best + 1 < len(p) else 0.0
+    return float(np.clip((p[order[best]] + below) / 2, 0.1, 0.9))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Chain:
     """Trains on at most ``sample`` labelled documents, those whose ids hash lowest; folds go by hash too."""
     key = F.xxhash64("id", F.lit("fold"))
@@ -342,8 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([np.frombuffer(bytes(r["words"]), np.uint64) for r in rows], np.array([r["y"] > 0 for r in rows], dtype=np.int64), np.array([r["fold"] for r in rows], dtype=np.int64))
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, p_toxic, p_repeated, p_severe, toxic) per row; toxic tells whether its probability reaches the threshold.
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """(id, p_toxic, p_repeated, p_severe, toxic) per row; toxic tells whether its probability reaches the threshold (the chain's own by default).
 
     Whole texts are read.  Null and empty texts have no words and get the
     models' probabilities of that.  Null ids, ties and repeated rows are carried
@@ -368,7 +396,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = ", ".join([f"id {dict(base.dtypes)['id']}", *(f"{n} double" for n in names)])
-    return base.mapInArrow(scan, shape).select(F.col("id").alias(id_col), *names, (F.col("p_toxic") >= threshold).alias("toxic"))
+    return base.mapInArrow(scan, shape).select(F.col("id").alias(id_col), *names, (F.col("p_toxic") >= F.lit(chain.threshold if threshold is None else threshold)).alias("toxic"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,9 @@ def test_telling_words_match_a_plain_count(spark):
         p = sum(v for v, s in zip(y, sets, strict=True) if w in s)
         gain[w] = (p - rate * n) ** 2 / (n * rate * (1 - rate))
     assert toxicity.telling_words(df).tolist() == sorted(w for w, g in gain.items() if g >= toxicity.GAIN)
+
+
+def test_cut_takes_the_best_f1():
+    p, y = np.array([0.9, 0.8, 0.4, 0.3, 0.2, 0.05]), np.array([1, 1, 1, 0, 0, 0])
+    assert toxicity.cut(p, y) == pytest.approx(0.35)
+    assert toxicity.cut(p, 0 * y) == 0.5 and toxicity.cut(p, 0 * y + 1) == 0.1
