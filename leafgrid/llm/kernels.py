@@ -9,6 +9,7 @@ runs are code-point runs).  Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's library, which has no such call
+    _LIBC = None
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _S33, _S29 = np.uint64(33), np.uint64(29)
@@ -47,14 +53,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], at - lo
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``most`` bytes of text each (one row at least)."""
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of text each (one row at least); memory is given back after the last."""
     _, at = buffers(batch.column(column))
     begin, n = 0, batch.num_rows
     while begin < n:
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
         yield batch.slice(begin, end - begin)
         begin = end
+    release()
 
 
 def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ MARK = "▁"
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a worker remembers.
-MEMORY = 1 << 20
+MEMORY = 1 << 18
 
 
 @dataclass
@@ -132,7 +133,6 @@ class Codec:
 
     def __init__(self, data: bytes):
         self.model = m = read_model(data)
-        self.whole = build(m)
         normal = [p for p, t in zip(m.pieces, m.types, strict=True) if t == NORMAL]
         self.cut = m.escape_spaces and m.dummy_prefix and not m.charsmap and not m.remove_extra_spaces and not any(MARK in p.lstrip(MARK) for p in normal)
         self.newline = not any("\n" in p for p in normal)
@@ -144,6 +144,11 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.memory = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """For texts that can't be cut; few workers ever need it."""
+        return build(self.model)
+
     @staticmethod
     def _flat(tok: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -254,7 +259,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for b in batches:
-            for p in kernels.pieces(b, "text"):
+            for p in kernels.pieces(b, "text", 4 << 20):
                 ids, ptr = c.encode(p.column("text"))
                 data, at = kernels.buffers(p.column("text"))
                 back, bounds = c.decode(ids, ptr)
