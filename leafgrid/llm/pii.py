@@ -57,8 +57,9 @@ PATTERNS = [
     ("name", rf"(?<!\w)(?P<title>{_FEMALE}|{_MALE}|{_NEUTRAL}) (?P<full>{_NAME}(?: {_NAME}){{0,2}})"),
 ]
 FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
-#: A cheap test that texts with an entity pass (RE2).
-HINT = rf"[0-9]{{2}}|@|[=:]|(?:{_FEMALE}|{_MALE}|{_NEUTRAL}) "
+#: A cheap test that every text with an entity passes (RE2); each kind has what it can't be without: two digits at
+#: most a space, dot or hyphen apart (cards may be spaced out, IPs be 1.1.1.1), a key's head, a run of hex digits, a title.
+HINT = rf"[0-9][ .-]?[0-9]|@|[=:]|AKIA|ASIA|[0-9a-f]{{32}}|[0-9A-F]{{32}}|(?:{_FEMALE}|{_MALE}|{_NEUTRAL}) "
 
 
 def _draw(key: bytes, *parts: object) -> int:
