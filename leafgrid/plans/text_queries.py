@@ -234,7 +234,7 @@ SELECT item_id, levenshtein(t, g)::BIGINT AS edits, length(t) AS size FROM (
   SELECT item_id, left(regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g'), 200) AS g FROM gw GROUP BY 1) USING (item_id)""", more=_GOT))
 def cer(spark, d):
     def plain(df: DataFrame, name: str) -> DataFrame:
-        return df.select("item_id", F.left(F.regexp_replace(F.array_join(T.tokens(F.col("text")), " "), r"[^\x20-\x7E]", "?"), F.lit(200)).alias(name))
+        return df.select("item_id", F.regexp_replace(F.array_join(T.tokens(F.col("text")), " "), r"[^\x20-\x7E]", "?").alias(name))
 
     truth, got = _read_text(spark, d)
     return M.character_errors(plain(truth, "truth").join(plain(got, "got"), "item_id"), "item_id")
