@@ -133,7 +133,7 @@ p AS (SELECT c.code, k.code AS fixed FROM c JOIN k ON abs(length(c.code) - lengt
 SELECT code, min(fixed) AS fixed FROM p GROUP BY code HAVING count(*) = 1""")
 def edit1_matches(spark, d):
     def codes(df: DataFrame) -> DataFrame:
-        return df.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).where("char_length(w) between 4 and 9").select(F.upper("w").alias("code")).distinct()
+        return df.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).where("char_length(w) >= 4").select(F.upper("w").alias("code")).distinct()
 
     return X.one_edit_off(codes(fx.read(spark, d, "documents")), codes(fx.read(spark, d, "benchmark")))
 

@@ -34,3 +34,12 @@ def test_character_errors_are_those_of_whole_texts(spark, tables):
         truth, read = (t.replace("é", "?") for t in (text, " ".join(got)))
         want[i] = (edits(truth, read), len(truth))
     assert {r["item_id"]: (r["edits"], r["size"]) for r in page_queries.QUERIES["cer"](spark, d).collect()} == want
+
+
+def test_one_edit_matches_have_no_upper_length(spark, tables):
+    d = tables(documents=([(1, "misinterpretatiom ok"), (2, "housez housex internationalizatio"), (3, "abc thousandfol")], "doc_id long, text string"),
+               benchmark=([(1, "misinterpretation internationalization"), (2, "house thousandfold abd")], "item_id long, text string"))
+    codes, known = ["misinterpretatiom", "internationalizatio", "housez", "housex", "thousandfol"], ["misinterpretation", "internationalization", "house", "thousandfold"]
+    near = {c.upper(): [k.upper() for k in known if edits(c, k) == 1] for c in codes}
+    want = {c: k[0] for c, k in near.items() if len(k) == 1}
+    assert len(want) == 5 and {r["code"]: r["fixed"] for r in page_queries.QUERIES["edit1_matches"](spark, d).collect()} == want
