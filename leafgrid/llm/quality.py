@@ -23,7 +23,7 @@ from leafgrid.llm import common, kernels
 
 #: Defaults of the verdicts; all are parameters of the operator.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MIN_LINE_WORDS, LINE_DOCS, LINE_PERCENT, LEFT_PERCENT = 3, 10, 10, 30
+MIN_LINE_WORDS, LINE_DOCS, LEFT_PERCENT = 3, 10, 30
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,13 +129,13 @@ def _strip(text: str, hot: set[int], min_line_words: int) -> str:
     return "\n".join(x for x, k, n in zip(lines, keys.tolist(), np.diff(first).tolist(), strict=True) if n < min_line_words or k not in hot)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_line_words: int = MIN_LINE_WORDS, line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_line_words: int = MIN_LINE_WORDS, line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """A verdict per row: id, host_hash, text_hash, the base statistics, removed_words, hot_lines, base_failed, kept.
 
     A line of at least ``min_line_words`` words is removed when more than
-    ``line_docs`` documents of its host, and more than ``line_percent`` of them,
-    hold it (documents with equal text count once).  A document fails when
-    fewer than ``min_words`` words or ``left_percent`` of its words remain.
+    ``line_docs`` documents of its host hold it, however large the host
+    (documents with equal text count once).  A document fails when fewer than
+    ``min_words`` words or ``left_percent`` of its words remain.
 
     Null and empty texts have no words and fail.  A null host is a host of its
     own, a null id is carried through.  Repeated rows get equal verdicts.  Empty
@@ -151,9 +151,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     kind = dict(base.dtypes)["id"]
     shape = f"id {kind}, host long, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
     seen = common.materialize(base.mapInArrow(scan, shape), "quality")
-    hosts = seen.groupBy("host").agg(F.count_distinct("th").alias("docs"))
-    held = seen.select("host", "th", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("th").alias("n")).where(F.col("n") > line_docs)
-    hot = held.join(hosts, "host").where(F.col("n") * 100 > F.col("docs") * line_percent).select("host", "line")
+    hot = seen.select("host", "th", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("th").alias("n")).where(F.col("n") > line_docs).select("host", "line")
     each = seen.select("id", "host", "th", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("id", "host", "th", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     lost = each.join(hot, ["host", "line"]).distinct().groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "host", "th").agg(F.sum("words").alias("gone"), F.collect_list("line").alias("hot"))
     both = seen.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(lost, ["key", "host", "th"], "left")

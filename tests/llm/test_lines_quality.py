@@ -149,6 +149,19 @@ def test_apply_quality_takes_hot_lines_out_and_keeps_columns(spark):
     assert "This very line" not in texts[5] and "# * 5 %" in texts[5] and 100 not in texts and texts[200]
 
 
+def test_a_line_in_a_few_percent_of_a_large_host_is_removed(spark):
+    lines = {"this line is in one of a hundred": 100, "this line is in one of twenty": 20, "this line has ten documents only": 200}
+    docs = []
+    for i in range(2000):
+        own = [f"w{i}x{k}" for k in range(4 if i < 40 else 40)]
+        docs.append((i, "\n".join([" ".join(own), *(x for x, every in lines.items() if i % every == 0)]), "large"))
+    got = {r["doc_id"]: r for r in quality.quality(table(spark, docs)).collect()}
+    assert all(got[i]["removed_words"] == (8 * (i % 100 == 0) + 7 * (i % 20 == 0)) for i in got)
+    assert not got[0]["kept"] and not got[20]["kept"] and got[1020]["kept"]
+    texts = {r["doc_id"]: r["text"] for r in quality.apply_quality(table(spark, docs)).collect()}
+    assert "one of" not in "".join(texts.values()) and "ten documents only" in texts[200]
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.quality(table(spark, [])).collect() == [] and quality.apply_quality(table(spark, [])).collect() == []
 
