@@ -222,154 +222,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return learn(x, np.array([r["y"] for r in got], dtype=np.int64), np.array([r["fold"] for r in got], dtype=np.int64), words)
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of all categories of rows of word presence."""
-        p = np.zeros((len(x), len(self.categories)), dtype=np.float64)
-        linear = x @ self.weights.T
-        for j in range(len(self.categories)):
-            p[:, j] = _sigmoid(linear[:, j] + p[:, :j] @ self.links[j, :j] + self.bias[j])
-        return p
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
-def features(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the words of all texts and of their beginnings of PREFIXES bytes (0: shorter words), and each text's first word.
-
-    Texts are lower-cased and cut at white space and ASCII punctuation.
-    """
-    data, at = kernels.buffers(pc.utf8_lower(column.cast(pa.large_string())))
-    starts, ends, first = kernels.runs(~_APART[data], at)
-    size = ends - starts
-    out = [kernels.hash_runs(data, starts, ends)]
-    for k in PREFIXES:
-        h = np.zeros(len(starts), dtype=np.uint64)
-        longer = size > k
-        h[longer] = kernels.hash_runs(data, starts[longer], starts[longer] + k) + np.uint64(k)
-        out.append(h)
-    return out, first
-
-
-def word_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct feature hashes of each text."""
-    hashes, first = features(column)
-    for i in range(len(first) - 1):
-        yield np.unique(np.concatenate([h[first[i] : first[i + 1]] for h in hashes]))
-
-
-def presence(sets: Sequence[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(sets), len(words)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(words, s)
-        at = at[at < len(words)][words[at[at < len(words)]] == s[at < len(words)]]
-        x[i, at] = 1
-    return x
-
-
-def _fit(x: np.ndarray, p: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 3e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent on scaled columns: weights of x, of p, and the bias."""
-    n, d = x.shape
-    if not n or y.min() == y.max():
-        return np.zeros(d), np.zeros(p.shape[1]), 20.0 if n and y.min() == 1 else -20.0
-    rate = x.mean(axis=0, dtype=np.float64)
-    # a rare word counts as much as a common one
-    scale = np.concatenate([1 / np.sqrt(rate * (1 - rate) + 0.01), np.ones(p.shape[1]) * 4])
-    z = np.concatenate([(x - rate.astype(np.float32)) * scale[:d].astype(np.float32), (p - p.mean(axis=0)) * scale[d:]], axis=1, dtype=np.float32)
-    step = 4 / float(np.linalg.norm(z[:, :] @ _leading(z)) ** 2 / n + 1)
-    w = np.zeros(z.shape[1] + 1)
-    w[-1] = np.log(y.mean() / (1 - y.mean()))
-    v = w.copy()
-    for t in range(1, steps + 1):
-        err = _sigmoid(z @ v[:-1].astype(np.float32) + v[-1]) - y
-        grad = np.append(err.astype(np.float32) @ z, err.sum()) / n
-        grad[:-1] += ridge * v[:-1]
-        new = v - step * grad
-        v, w = new + (t - 1) / (t + 2) * (new - w), new
-    out = w[:-1] * scale
-    return out[:d], out[d:], float(w[-1] - out[:d] @ rate - out[d:] @ p.mean(axis=0))
-
-
-def _leading(z: np.ndarray) -> np.ndarray:
-    """The direction in which the rows spread most, by power iteration."""
-    v = np.ones(z.shape[1], dtype=np.float32) / np.sqrt(max(1, z.shape[1]))
-    for _ in range(12):
-        v = (z @ v) @ z
-        v /= max(float(np.linalg.norm(v)), 1e-12)
-    return v
-
-
-def markers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether each word is a marker: far commoner in positive rows."""
-    pos, neg = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
-    lift = ((pos + 0.5) / ((y == 1).sum() + 1)) / ((neg + 0.5) / ((y == 0).sum() + 1))
-    return (lift >= LIFT) & (pos >= LEAST)
-
-
-def train(sets: Sequence[np.ndarray], toxic: np.ndarray, folds: np.ndarray, words: int = WORDS) -> Chain:
-    """The chain from word sets, labels and each row's fold."""
-    names = ["toxic", *GRADES]
-    y = toxic.astype(np.int64)
-    pool, inverse = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    pos = np.bincount(inverse[y[owner] == 1] if len(owner) else inverse, minlength=len(pool))
-    total = np.bincount(inverse, minlength=len(pool))
-    # how far each word's count among positives is from what its total suggests
-    rate = y.mean() if len(y) else 0.0
-    gain = np.where(total >= 4, (pos - rate * total) ** 2 / np.maximum(total * rate * (1 - rate), 1e-9), -1)
-    best = np.argsort(-gain, kind="stable")[:words]
-    vocabulary = np.sort(pool[best[gain[best] >= GAIN]])
-    x = presence(sets, vocabulary)
-    k = len(names)
-    chain = Chain(names, vocabulary, np.zeros((k, len(vocabulary))), np.zeros((k, k)), np.zeros(k))
-    hits = x @ markers(x, y).astype(np.float32) if len(y) else np.zeros(0)
-    oof = np.zeros((len(y), k))
-    for j, name in enumerate(names):
-        target = y if name == "toxic" else y * (hits >= GRADES[name])
-        for f in range(FOLDS):
-            seen = folds != f
-            w, c, b = _fit(x[seen], oof[seen, :j], target[seen])
-            oof[~seen, j] = _sigmoid(x[~seen] @ w + oof[~seen, :j] @ c + b)
-        chain.weights[j], chain.links[j, :j], chain.bias[j] = _fit(x, oof[:, :j], target)
-    chain.threshold = cut(oof[:, 0], y)
-    return chain
-
-
-def cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 on out-of-fold probabilities, midway to the next lower one, within 0.1 and 0.9; 0.5 without positives."""
-    if not y.sum():
-        return 0.5
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
-    best = int(np.flatnonzero(f1 == f1.max())[-1])
-    below = p[order[best + 1]] if best + 1 < len(p) else 0.0
-    return float(np.clip((p[order[best]] + below) / 2, 0.1, 0.9))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Chain:
-    """Trains on at most ``sample`` labelled documents, those whose ids hash lowest; folds go by hash too."""
-    key = F.xxhash64("id", F.lit("fold"))
-    # an id labelled more than once is toxic if any label says so
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(sample)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in kernels.pieces(b, "text"):
-                yield pa.RecordBatch.from_pydict({"id": p.column("id"), "y": p.column("y"), "fold": p.column("fold"), "words": pa.array([s.tobytes() for s in word_sets(p.column("text"))], pa.binary())})
-
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    kind = dict(base.dtypes)["id"]
-    rows = base.select("id", "text", "y", F.pmod(key, F.lit(FOLDS)).cast("int").alias("fold")).mapInArrow(scan, f"id {kind}, y int, fold int, words binary").collect()
-    seen = {}
-    for r in rows:  # repeated rows train once
-        seen.setdefault(r["id"], r)
-    rows = [seen[i] for i in sorted(seen)]
-    return train([np.frombuffer(bytes(r["words"]), np.uint64) for r in rows], np.array([r["y"] > 0 for r in rows], dtype=np.int64), np.array([r["fold"] for r in rows], dtype=np.int64))
-
-
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
     """(id, p_toxic, p_repeated, p_severe, toxic) per row; toxic tells whether its probability reaches the threshold (the chain's own by default).
 

@@ -262,3 +262,13 @@ def test_an_entity_alone_in_its_text_is_found(spark):
     got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymize(df).collect()}
     assert [ALONE[i] for i in got if got[i][1] != 1 or ALONE[i][1] in got[i][0]] == []
     assert {(r["kind"], r["entity"]) for r in pii.entities(df).collect()} == {(k, e) for _, x in ALONE for _, _, k, e in pii.find(f"of {x} and")}
+
+
+def test_training_counts_features_on_the_cluster(spark, monkeypatch):
+    counted = []
+    plain = toxicity.telling_words
+    monkeypatch.setattr(toxicity, "telling_words", lambda rows, *a: counted.append(rows.count()) or plain(rows, *a))
+    docs = spark.createDataFrame([(i, f"plain text {i}" + " vile nasty" * (i % 2)) for i in [*range(60), 7, 7]], "doc_id long, text string")
+    told = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, told)
+    assert counted == [60] and len(chain.words)  # repeated rows once
