@@ -169,7 +169,7 @@ def photo_semijoin(spark, d):
 SELECT doc_id, seg FROM figures a WHERE NOT EXISTS (SELECT 1 FROM figures b WHERE b.doc_id = a.doc_id
   AND (b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) AND {_OVER} * 5 > {_AREA} * 1)""", "figures"))
 def nms_boxes(spark, d):
-    return B.outermost(fx.figures(spark, d), 1, 5).select("doc_id", "seg")
+    return B.outermost(fx.figures(spark, d)).select("doc_id", "seg")
 
 
 @query(fx.sql("""

@@ -2,6 +2,7 @@
 
 import pytest
 
+from leafgrid.plans import fixtures as fx
 from leafgrid.plans import queries as page_queries
 from leafgrid.plans import text_queries  # noqa: F401
 
@@ -43,3 +44,23 @@ def test_one_edit_matches_have_no_upper_length(spark, tables):
     near = {c.upper(): [k.upper() for k in known if edits(c, k) == 1] for c in codes}
     want = {c: k[0] for c, k in near.items() if len(k) == 1}
     assert len(want) == 5 and {r["code"]: r["fixed"] for r in page_queries.QUERIES["edit1_matches"](spark, d).collect()} == want
+
+
+def test_figures_go_only_if_a_larger_one_covers_four_fifths(spark):
+    d = "/root/testdata/sf0.001"
+    pages = {}
+    for r in fx.figures(spark, d).select("doc_id", "seg", "x0", "y0", "x1", "y1").collect():
+        pages.setdefault(r["doc_id"], []).append(r)
+
+    def area(r):
+        return (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+
+    def over(a, b):
+        return max(0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
+
+    def kept(num):
+        return {(a["doc_id"], a["seg"]) for page in pages.values() for a in page if not any(area(b) > area(a) and over(a, b) * 5 > area(a) * num for b in page)}
+
+    got = {(r["doc_id"], r["seg"]) for r in page_queries.QUERIES["nms_boxes"](spark, d).collect()}
+    assert kept(1) < kept(4) == got, (len(kept(1)), len(got))
+    print("figures", len(kept(1)), len(got))
