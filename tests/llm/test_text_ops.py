@@ -143,10 +143,10 @@ def test_held_out_accuracy_of_the_chain(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
     held = labels[1000:]
     right = sum(got[i]["toxic"] == bool(y) for i, y, _ in held)
-    assert right >= 0.98 * len(held) and all(got[i]["toxic"] for i, y, _ in held if y) >= 0.95
+    assert right >= 0.98 * len(held) and np.mean([got[i]["toxic"] for i, y, _ in held if y]) >= 0.95
     low = np.mean([got[i]["p_severe"] for i, y, _ in held if y and len(set(re.findall("vile|Nasty|awful|gross|mean", rows[i][1]))) <= 1])
     high = np.mean([got[i]["p_severe"] for i, y, _ in held if y and len(set(re.findall("vile|Nasty|awful|gross|mean", rows[i][1]))) >= 4])
-    assert high > low + 0.3 and chain.links[1, 0] != 0
+    assert high > low + 0.3 and chain.categories[-1] == "toxic" and all(chain.links[3, :3] > 0)
     again = toxicity.fit(docs, told, sample=900)
     assert np.array_equal(again.words, chain.words)
 
@@ -159,29 +159,72 @@ def test_toxicity_of_odd_rows_and_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).collect() == []
 
 
-def test_later_categories_lean_on_earlier_ones():
-    rows, labels = toxic_rows(400, 9)
-    sets = list(toxicity.word_sets(pa.array([r[1] for r in rows])))
-    words = np.unique(np.concatenate(list(toxicity.word_sets(pa.array(["vile nasty awful gross mean"])))))
-    y = np.array([x[1] for x in labels])
-    chain = toxicity.learn(toxicity.presence(sets, words), y, np.arange(400) % 5, words)
-    p = chain.score(toxicity.presence(sets, words))
-    assert p.shape == (400, 3) and (p[:, 1] <= p[:, 0] + 0.2).mean() > 0.9 and chain.links[1, 0] != 0
+def test_the_verdict_hangs_on_the_links(spark):
+    """Forms of known stems that training never saw: whole words say nothing of them, the earlier categories do."""
+    rng = random.Random(6)
+    plain = [f"w{i}" for i in range(300)]
+    stems = ["hatef", "vilen", "awfulm", "grossn"]
+    rows, labels = [], []
+    for i in range(900):
+        y = i % 4 == 0
+        # one in two toxic documents has forms of its own, as have all held-out ones
+        own = i % 8 == 0 or i >= 600
+        bad = [rng.choice(stems) + (f"x{i}" if own else rng.choice(["ess", "ul"])) for _ in range(5 * y)]
+        words = [rng.choice(plain) for _ in range(40)] + bad
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(y)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
+
+    def caught(c):
+        return {r["doc_id"] for r in toxicity.score(docs.where("doc_id >= 600"), c).where("toxic").collect()}
+
+    want = {i for i, y in labels[600:] if y}
+    with_links = caught(chain)
+    assert len(with_links & want) >= 0.95 * len(want) and len(with_links - want) <= 2
+    chain.links = np.zeros_like(chain.links)
+    assert len(caught(chain) & want) <= 0.2 * len(want)
+
+
+def test_out_of_fold_probabilities_know_nothing_of_their_fold():
+    """With labels dealt at random, features and markers chosen on all rows would seem to tell the held-out rows' labels."""
+    rng = np.random.default_rng(3)
+    n, d = 500, 400
+    x = (rng.random((n, d)) < 0.1).astype(np.float32)
+    y, folds = (rng.random(n) < 0.3).astype(np.int64), np.arange(n) % toxicity.FOLDS
+    words = np.arange(2, d + 2, dtype=np.uint64)
+    chain = toxicity.learn(x, y, folds, words)
+    # no threshold finds the positives among out-of-fold probabilities of noise: the best F1 is that of calling most positive
+    assert chain.threshold < y.mean() + 0.1
+
+
+def plain_choice(sets, y, folds):
+    """Features that tell most, by plain counts, without each fold and over all rows."""
+    out = {}
+    for f in range(toxicity.FOLDS + 1):
+        rows = [(set(s.tolist()), v) for s, v, g in zip(sets, y, folds, strict=True) if g != f]
+        rate = sum(v for _, v in rows) / len(rows)
+        gain = {}
+        for w in set().union(*(s for s, _ in rows)):
+            n = sum(w in s for s, _ in rows)
+            if n >= 4:
+                gain[w] = (sum(v for s, v in rows if w in s) - rate * n) ** 2 / (n * rate * (1 - rate))
+        for odd in (0, 1):
+            out[f, odd] = {w for w, g in gain.items() if g >= toxicity.GAIN and w % 2 == odd}
+    return out
 
 
 def test_telling_words_match_a_plain_count(spark):
     rows, labels = toxic_rows(300, 4)
     sets = list(toxicity.word_sets(pa.array([r[1] for r in rows])))
-    y = [x[1] for x in labels]
-    df = spark.createDataFrame([(v, bytearray(s.tobytes())) for v, s in zip(y, sets, strict=True)], "y int, words binary")
-    rate, gain = sum(y) / 300, {}
-    for w in {w for s in sets for w in s.tolist()}:
-        n, p = sum(w in s for s in map(set, (s.tolist() for s in sets))), 0
-        if n < 4:
-            continue
-        p = sum(v for v, s in zip(y, sets, strict=True) if w in s)
-        gain[w] = (p - rate * n) ** 2 / (n * rate * (1 - rate))
-    assert toxicity.telling_words(df).tolist() == sorted(w for w, g in gain.items() if g >= toxicity.GAIN)
+    y, folds = [x[1] for x in labels], [i % toxicity.FOLDS for i in range(300)]
+    df = spark.createDataFrame([(v, f, bytearray(s.tobytes())) for v, f, s in zip(y, folds, sets, strict=True)], "y int, fold int, words binary")
+    want = plain_choice(sets, y, folds)
+    found, allowed = toxicity.telling_words(df)
+    assert found.tolist() == sorted(set().union(*want.values())) and toxicity.stems(found).any() and not toxicity.stems(found).all()
+    for f in range(toxicity.FOLDS + 1):
+        assert set(found[allowed[f]].tolist()) == want[f, 0] | want[f, 1]
 
 
 def test_cut_takes_the_best_f1():
@@ -196,5 +239,5 @@ def test_training_counts_features_on_the_cluster(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "telling_words", lambda rows, *a: counted.append(rows.count()) or plain(rows, *a))
     docs = spark.createDataFrame([(i, f"plain text {i}" + " vile nasty" * (i % 2)) for i in [*range(60), 7, 7]], "doc_id long, text string")
     told = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    chain = toxicity.fit(docs, told)
-    assert counted == [60] and len(chain.words)  # repeated rows once
+    toxicity.fit(docs, told)
+    assert counted == [60]  # repeated rows once
