@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafgrid.tables import materialize, shared_dir  # noqa: F401  the operators' way to them
+
 #: ``[\x20\x09-\x0D]``, the white space of every operator here.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,28 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Only a local session without the setting gets a folder of its own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="leafgrid-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+def packed(df: DataFrame) -> Column:
+    """All columns as one, ``row``: whatever their names, they clash with no column put beside them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks."""
-    path = f"{shared_dir(df.sparkSession)}/leafgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unpacked(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``df`` out of ``row``, some of them anew, then those that are added."""
+    own = [new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in df.columns]
+    return own + [v.alias(k) for k, v in new.items() if k not in df.columns]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -86,12 +74,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node that has a link; label is the smallest node of its component.
 
     ``links`` has two columns, a and b.  Alternates the large-star and small-star
-    steps until no link changes; each step is a grouped minimum (partial on the
+    steps until no link changes (labels only fall, so it ends; the rounds grow
+    with the logarithm of the longest path); each step is a grouped minimum (partial on the
     map side) and a join, so no neighbourhood is ever gathered.
     """
     edges = materialize(links.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
+    mark = () if edges.isEmpty() else None
+    while mark != ():
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -99,8 +88,6 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = materialize(small, "edges")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+        mark = () if now == mark else now
     pairs = edges.groupBy("a").agg(F.min("b").alias("label"))
     return pairs.union(pairs.select("label", "label").distinct()).toDF("node", "label")

@@ -2,14 +2,15 @@
 
 Every document gets a random key (a hash of its id), sources are range-sorted
 by key, and prefix sums of word counts say which documents a source's budget
-reaches.  Keys are uniform, so their leading digits cut each source into equal
-ranges without sampling: sums per range, a running sum over the ranges of a
+reaches.  Keys are uniform, so their leading digits (more of them for more rows)
+cut each source into equal ranges without sampling: sums per range, a running sum over the ranges of a
 source, and a running sum within each range give every document's place, and a
 source with a third of all rows spreads over as many ranges as any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm import common
 
-#: Hexadecimal digits of the key that name its range: 4096 ranges for each source.
-DIGITS = 3
+#: Rows that a range of keys is meant to have if all rows were of one source; 4,096 ranges for each source at least.
+RANGE_ROWS = 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +46,31 @@ def targets(sizes: DataFrame, weights: Sequence[int], percent: int, most: int) -
     return leveled.withColumn("shared", first).select("source", "source_size", F.coalesce(F.col("shared") * F.col("weight"), F.col("limit")).alias("target"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, id, source, s, key, range, size, th) per row; s, the source's hash, joins a null like any value."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    th = F.xxhash64(text)
+    # a third of all rows without an id must not share a key
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), th.cast("string"))))
+    digits = max(3, math.ceil(math.log(max(1, docs.count() / RANGE_ROWS), 16)))
+    rows = docs.select(common.packed(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(source_col)).alias("s"), key.alias("key"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), th.alias("th"))
+    return rows.withColumn("range", F.substring("key", 1, digits))
+
+
+def _planned(rows: DataFrame, weights: Sequence[int], percent: int, most: int) -> DataFrame:
+    """Sized rows with source_size, target and taken."""
+    ranges = common.materialize(rows.groupBy("s", "source", "range").agg(F.sum("size").alias("words")), "ranges")
+    goals = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, percent, most).withColumn("s", F.xxhash64("source")).drop("source")
+    begins = ranges.withColumn("begin", F.sum("words").over(Window.partitionBy("s").orderBy("range")) - F.col("words")).select("s", "range", "begin").join(goals, "s")
+    within = Window.partitionBy("s", "range").orderBy("key", "id", "size", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("upto", F.sum("size").over(within)).join(begins, ["s", "range"])
+    start = F.col("begin") + F.col("upto") - F.col("size")
+    goal = F.floor("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    left = goal - epochs * F.col("source_size")
+    return placed.withColumn("taken", epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - start)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
     """(id, text_hash, source, size, source_size, target, taken) per row.
 
@@ -54,45 +80,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last of them is taken in part.  taken counts a document's words over all
     epochs.  Keys hash the id, so reruns agree.
 
-    Null texts have size 0.  A null source is a source of its own, a null id has
-    a key like any other.  Equal ids follow each other by size and text; repeated
-    rows are documents of their own.  An empty table gives no rows; other columns
-    are not read.
+    Null texts have size 0.  A null source is a source of its own.  A null id
+    has the hash of the text for a key.  Equal ids follow each other by size and
+    text; repeated rows are documents of their own, one after another.  An empty
+    table gives no rows; other columns are not read.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), F.xxhash64(text).alias("th"))
-    # the source's hash stands in for it as a key, so a null joins like any value
-    rows = common.materialize(rows.withColumns({"s": F.xxhash64("source"), "range": F.substring("key", 1, DIGITS)}), "mix")
-    ranges = rows.groupBy("s", "source", "range").agg(F.sum("size").alias("words"))
-    sizes = ranges.groupBy("s", "source").agg(F.sum("words").alias("source_size"))
-    goals = targets(sizes.select("source", "source_size"), weights, percent, most).withColumn("s", F.xxhash64("source")).drop("source")
-    begins = ranges.withColumn("begin", F.sum("words").over(Window.partitionBy("s").orderBy("range")) - F.col("words")).select("s", "range", "begin").join(goals, "s")
-    within = Window.partitionBy("s", "range").orderBy("key", "id", "size", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("upto", F.sum("size").over(within)).join(begins, ["s", "range"])
-    start = F.col("begin") + F.col("upto") - F.col("size")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.floor("target").cast("long") - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - start))
-    return placed.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("source"), "size", "source_size", "target", taken.alias("taken"))
+    rows = common.materialize(_sized(docs, id_col, text_col, source_col).drop("row"), "mix")
+    done = _planned(rows, weights, percent, most)
+    return done.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), "source", "size", "source_size", "target", "taken")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
     """The mixed corpus: a document comes once for each whole taking, then cut after the last taken word; columns as given.
 
-    ``n_chars``, if there, follows a cut text.
+    ``n_chars``, if there, follows a cut text.  The rows carry their own plan,
+    so each repeated row is taken as often as ``mix`` says of it; which of equal
+    rows is the one that is cut makes no difference, so reruns agree.  Rows
+    without words (null and empty texts among them) are never taken.  Null ids
+    and sources are as in ``mix``; an empty table gives no rows.
     """
-    plan = mix(docs, id_col, text_col, source_col, **how).where("taken > 0")
-    copies = plan.select(F.col(id_col).alias("__id"), F.xxhash64("source").alias("__s"), F.col("text_hash").alias("__t"), F.col("size").alias("__n"), F.col("taken").alias("__k")).dropDuplicates(["__id", "__s", "__t"])
-    own = docs.withColumns({"__os": F.xxhash64(F.col(source_col)), "__ot": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    both = own.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__os") == F.col("__s")) & (F.col("__ot") == F.col("__t")))
+    done = _planned(_sized(docs, id_col, text_col, source_col), weights, percent, most).where("taken > 0")
     # whole copies, then the words of a part, 0 for none
-    both = both.withColumn("__part", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), (F.col("__k") / F.col("__n")).cast("int")), F.filter(F.array(F.col("__k") % F.col("__n")), lambda x: x > 0))))
-    words = F.slice(F.regexp_extract_all(F.when(F.col("__part") >= 0, F.col(text_col)), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest("__part", F.lit(1)).cast("int"))
-    both = both.withColumn(text_col, F.when(F.col("__part") < 0, F.col(text_col)).otherwise(F.array_join(words, "")))
+    both = done.withColumn("part", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.filter(F.array(F.col("taken") % F.col("size")), lambda x: x > 0))))
+    text, whole = F.col("row")[text_col], F.col("part") < 0
+    words = F.slice(F.regexp_extract_all(F.when(~whole, text), F.lit(r"(?s)[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest("part", F.lit(1)).cast("int"))
+    new = {text_col: F.when(whole, text).otherwise(F.array_join(words, ""))}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__part") < 0, F.col("n_chars")).otherwise(F.length(text_col)))
-    return both.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("row")["n_chars"]).otherwise(F.length(new[text_col])).cast(dict(docs.dtypes)["n_chars"])
+    return both.select(*common.unpacked(docs, **new))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from leafgrid.llm import common, line_dedup, mixing, ngram_join, quality, shardi
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_mix(docs, weights=(5, 2, 1), percent=150, most=2):
+def brute_mix(docs, hashes, weights=(5, 2, 1), percent=150, most=2):
     size = lambda t: len(WORD.findall(t or ""))
     total = defaultdict(int)
     for _, t, s in docs:
@@ -31,7 +31,8 @@ def brute_mix(docs, weights=(5, 2, 1), percent=150, most=2):
         if len(full) == len(order):
             break
     out, at = [], defaultdict(int)
-    for i, t, s in sorted(docs, key=lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), d[0] or 0, size(d[1]))):
+    key = lambda d: f"no id {hashes[d[1] or '']}" if d[0] is None else str(d[0])
+    for i, t, s in sorted(docs, key=lambda d: (hashlib.md5(key(d).encode()).hexdigest(), d[0] or 0, size(d[1]), hashes[d[1] or ""])):
         n, goal = size(t), floor(target[s] + 1e-9)
         epochs = goal // total[s] if total[s] else 0
         out.append((i, n, total[s], round(target[s], 6), epochs * n + max(0, min(n, goal - epochs * total[s] - at[s]))))
@@ -40,6 +41,14 @@ def brute_mix(docs, weights=(5, 2, 1), percent=150, most=2):
 
 
 DOCS = [(i, " ".join(["w"] * (i * 7 % 23)), ["a", "b", "Z", "é", None][i % 5]) for i in range(200)] + [(500, "big " * 5000, "hot"), (501, None, "none"), (None, "x y z", "a"), (7, "seven words of a very same id", "b"), (502, "one", "tiny"), (502, "one", "tiny")]
+DOCS += [(None, f"no id {i}", "a") for i in range(30)] + [(None, "no id 3", "a")] + [(600, "w " * 100, "three")] * 3 + [(601, "v " * 200, "three")]
+
+
+def hashes(spark, docs):
+    """Spark's own hash of each text, which orders equal ids."""
+    texts = spark.createDataFrame([(t,) for t in {d[1] or "" for d in docs}], "t string")
+    return {r["t"]: r["h"] for r in texts.select("t", mixing.F.xxhash64("t").alias("h")).collect()}
+
 
 
 def table(spark, docs=DOCS):
@@ -48,7 +57,7 @@ def table(spark, docs=DOCS):
 
 def test_mix_matches_brute_force(spark):
     got = mixing.mix(table(spark)).collect()
-    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == brute_mix(DOCS)
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in got) == brute_mix(DOCS, hashes(spark, DOCS))
     for s in {d[2] for d in DOCS}:
         own = [r for r in got if r["source"] == s]
         assert sum(r["taken"] for r in own) == floor(own[0]["target"] + 1e-9) and all(r["taken"] <= 2 * r["size"] for r in own)
@@ -60,11 +69,13 @@ def test_applied_mix_takes_what_the_plan_says(spark):
     assert out.columns == df.columns
     words = Counter()
     for r in out.collect():
-        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+        words[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
     want = Counter()
-    for r in mixing.mix(df).where("doc_id is null or doc_id < 502").collect():
-        want[r["doc_id"]] += r["taken"]
-    assert {k: v for k, v in words.items() if k != 502} == {k: v for k, v in want.items() if v}
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert words == Counter({k: v for k, v in want.items() if v}) and words[600, "three"] > 0
+    again = Counter(tuple(r) for r in mixing.apply_mix(df.repartition(7)).collect())
+    assert again == Counter(tuple(r) for r in out.collect())
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.apply_mix(df.limit(0)).collect() == []
 
 
@@ -128,7 +139,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     for name, (_, out) in list(seen.items())[:-1]:
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
     before, after = seen["quality_rules"]
-    kept = {r["doc_id"] for r in quality.quality(before).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality.quality(before, texts_once=True).where("kept").collect()}
     assert {r["doc_id"] for r in after.collect()} == kept
     before, after = seen["line_dedup"]
     want = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(before).collect()}
@@ -147,6 +158,31 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert after.count() == before.count() and after.where("not exact").count() == 0
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    body = [" ".join(f"w{(i * 31 + k * 7) % 997}" for k in range(60)) for i in range(40)]
+    rows = [(i, body[i], "a" if i % 3 else None, 5, f"x{i}") for i in range(40)]
+    rows += [(3, body[3], None, 5, "x3"), (50, None, "a", None, None), (51, "", "b", 0, "e"), (None, body[39] + " no id", "b", 1, "n"), (None, None, None, None, None)]
+    rows += [(60, "q" * 200_000 + " " + " ".join(f"long{k}" for k in range(3000)), "c", 9, "l"), (61, body[5], "a", 7, "copy")]
+    shape = "doc_id long, text string, source string, n_chars int, __t string"
+    for name, given in (("odd", rows), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame(given, shape).write.parquet(str(at / "documents.parquet"))
+        docs = common.table(spark, str(at), "documents")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.materialize(stage(spark, docs, str(at)), stage_name)
+            assert out.dtypes == docs.dtypes, stage_name
+            assert out.count() <= 3 * docs.count()
+            docs = out
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        if not given:
+            assert got == []
+            continue
+        ids = {r["doc_id"] for r in got}
+        assert {50, 51, 61} & ids == set() and {None, 60, 5} <= ids and all(r["exact"] and r["n_tokens"] for r in got)
+
+
 def test_registered_queries_have_a_check():
     import __spark_entry__ as entry
 
