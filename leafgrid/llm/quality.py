@@ -3,9 +3,9 @@
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; a line
 is boilerplate of its host when more distinct documents of the host hold it than
 the limit allows.  Such lines are removed, and a document that loses most of its
-words, or has too few left, is rejected as depleted.  Exact copies of a text
-count as one document, so a much-copied good text is not taken for boilerplate:
-copies are for the dedup operators to settle.
+words, or has too few left, is rejected as depleted.  Where exact copies are
+still to be settled by dedup operators, ``texts_once`` counts equal texts as one
+document, so a much-copied good text is not taken for boilerplate.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import common, kernels
@@ -24,6 +24,8 @@ from leafgrid.llm import common, kernels
 #: Defaults of the verdicts; all are parameters of the operator.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MIN_LINE_WORDS, LINE_DOCS, LEFT_PERCENT = 3, 10, 30
+#: Lines above the limit that are broadcast (16 bytes each); with more of them the join is salted.
+BROADCAST_LINES, SALTS = 1 << 18, 32
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,32 +131,50 @@ def _strip(text: str, hot: set[int], min_line_words: int) -> str:
     return "\n".join(x for x, k, n in zip(lines, keys.tolist(), np.diff(first).tolist(), strict=True) if n < min_line_words or k not in hot)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_line_words: int = MIN_LINE_WORDS, line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def _hot_of(rows: DataFrame, hot: DataFrame, salt: Column, broadcast_lines: int) -> DataFrame:
+    """The rows (host, line, ...) whose line is hot in their host.
+
+    A hot line is a hot key.  Up to ``broadcast_lines`` of them are broadcast,
+    so no key gathers; beyond, each stands in SALTS places and its rows are
+    dealt over them.
+    """
+    if hot.count() <= broadcast_lines:
+        return rows.join(F.broadcast(hot), ["host", "line"])
+    spread = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["host", "line", "salt"]).drop("salt")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_line_words: int = MIN_LINE_WORDS, line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT, texts_once: bool = False, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """A verdict per row: id, host_hash, text_hash, the base statistics, removed_words, hot_lines, base_failed, kept.
 
     A line of at least ``min_line_words`` words is removed when more than
     ``line_docs`` documents of its host hold it, however large the host
-    (documents with equal text count once).  A document fails when fewer than
-    ``min_words`` words or ``left_percent`` of its words remain.
+    (``texts_once``: documents with equal text count once).  A document fails
+    when fewer than ``min_words`` words or ``left_percent`` of its words remain.
 
     Null and empty texts have no words and fail.  A null host is a host of its
-    own, a null id is carried through.  Repeated rows get equal verdicts.  Empty
+    own.  Rows of an id are one document when documents are counted; rows
+    without id are one per text.  Repeated rows get equal verdicts.  Empty
     tables give no rows; other columns are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in kernels.pieces(b, "text"):
-                yield pa.RecordBatch.from_pydict({"id": p.column("id"), "host": p.column("host"), "th": p.column("th")} | measure(p.column("text"), min_line_words))
+                yield pa.RecordBatch.from_pydict({c: p.column(c) for c in ("id", "host", "th", "doc")} | measure(p.column("text"), min_line_words))
 
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(host_col)).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # 64 bits of the id, or of the text where there is none, tell documents apart
+    doc = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("no id"), th)).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(host_col)).alias("host"), th.alias("th"), doc.alias("doc"), F.col(text_col).alias("text"))
     kind = dict(base.dtypes)["id"]
-    shape = f"id {kind}, host long, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+    shape = f"id {kind}, host long, th long, doc long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
     seen = common.materialize(base.mapInArrow(scan, shape), "quality")
-    hot = seen.select("host", "th", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("th").alias("n")).where(F.col("n") > line_docs).select("host", "line")
-    each = seen.select("id", "host", "th", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("id", "host", "th", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    lost = each.join(hot, ["host", "line"]).distinct().groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "host", "th").agg(F.sum("words").alias("gone"), F.collect_list("line").alias("hot"))
-    both = seen.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit(""))).join(lost, ["key", "host", "th"], "left")
+    held = seen.select("host", F.col("th" if texts_once else "doc").alias("one"), F.explode("lines").alias("line"))
+    hot = common.materialize(held.groupBy("host", "line").agg(F.count_distinct("one").alias("n")).where(F.col("n") > line_docs).select("host", "line"), "hot")
+    each = seen.select("host", "th", "doc", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "th", "doc", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    lost = _hot_of(each, hot, F.col("doc"), broadcast_lines).distinct().groupBy("doc", "host", "th").agg(F.sum("words").alias("gone"), F.collect_list("line").alias("hot"))
+    both = seen.join(lost, ["doc", "host", "th"], "left")
     gone = F.coalesce("gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - gone
@@ -162,18 +182,23 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: int) -> DataFrame:
-    """The kept documents, without the lines above the limit; columns and order of columns as given."""
+    """The kept documents, without the lines above the limit; columns and order of columns as given.
+
+    ``limits`` are those of ``quality``, which also says how nulls, copies and
+    repeated rows count; a repeated row is kept as often as it comes.  A text
+    loses all its places of a removed line.  An empty table gives no rows.
+    """
     words = limits.get("min_line_words", MIN_LINE_WORDS)
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, hot: pd.Series) -> pd.Series:
         return pd.Series([t if h is None or t is None else _strip(t, set(h.tolist()), words) for t, h in zip(text, hot, strict=True)], dtype=object)
 
-    found = quality(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col(id_col).alias("__id"), F.col("host_hash").alias("__host"), F.col("text_hash").alias("__th"), F.col("hot_lines").alias("__hot")).dropDuplicates(["__id", "__host", "__th"])
-    own = docs.withColumns({"__h": F.xxhash64(F.col(host_col)), "__t": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    both = own.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__host")) & (F.col("__t") == F.col("__th")))
-    cut = F.when(F.col("__hot").isNull(), F.col(text_col)).otherwise(strip(F.when(F.col("__hot").isNotNull(), F.col(text_col)), F.col("__hot")))
-    return both.withColumn(text_col, cut).select(*docs.columns)
+    found = quality(docs, id_col, text_col, host_col, **limits).where("kept").select(F.col(id_col).alias("id"), "host_hash", "text_hash", "hot_lines").dropDuplicates(["id", "host_hash", "text_hash"])
+    own = docs.select(common.packed(docs), F.xxhash64(F.col(host_col)).alias("h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    both = own.join(found, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("h") == F.col("host_hash")) & (F.col("t") == F.col("text_hash")))
+    text, hot = F.col("row")[text_col], F.col("hot_lines")
+    return both.select(*common.unpacked(docs, **{text_col: F.when(hot.isNull(), text).otherwise(strip(F.when(hot.isNotNull(), text), hot))}))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,10 +215,8 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT s.doc_id, unnest(range(
 l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 n AS (SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM l),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM n WHERE len(ws) > 0 GROUP BY doc_id),
-k AS (SELECT n.doc_id, n.source, array_to_string(n.ws, ' ') AS line, len(n.ws) AS words, d.text FROM n JOIN documents d USING (doc_id) WHERE len(n.ws) >= 3),
-h AS (SELECT source, count(DISTINCT coalesce(text, '')) AS docs FROM documents GROUP BY source),
-f AS (SELECT k.source, k.line FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source GROUP BY k.source, k.line, h.docs
-      HAVING count(DISTINCT k.text) > 10 AND count(DISTINCT k.text) * 100 > h.docs * 10),
+k AS (SELECT doc_id, source, array_to_string(ws, ' ') AS line, len(ws) AS words FROM n WHERE len(ws) >= 3),
+f AS (SELECT source, line FROM k GROUP BY source, line HAVING count(DISTINCT doc_id) > 10),
 g AS (SELECT k.doc_id, sum(k.words) AS gone FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source AND k.line = f.line GROUP BY k.doc_id),
 b AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

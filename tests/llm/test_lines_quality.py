@@ -92,14 +92,13 @@ def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
 
-def brute_quality(docs, **limits):
-    p = {"min_words": 10, "repeat": 20, "line_words": 3, "docs": 10, "percent": 10, "left": 30} | limits
-    texts, held = defaultdict(set), defaultdict(set)
+def brute_quality(docs, texts_once=False, **limits):
+    p = {"min_words": 10, "repeat": 20, "line_words": 3, "docs": 10, "left": 30} | limits
+    held = defaultdict(set)
     norm = lambda x: " ".join(WS.findall(x.translate(UP)))
-    for _, t, h in docs:
-        texts[h].add(t or "")
+    for i, t, h in docs:
         for x in {norm(x) for x in (t or "").split("\n")}:
-            held[h, x].add(t or "")
+            held[h, x].add((t or "") if texts_once or i is None else i)
     out = []
     for i, t, h in docs:
         t = t or ""
@@ -108,7 +107,7 @@ def brute_quality(docs, **limits):
         grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
         many = Counter(grams)
         repeat = {p_ for k, g in enumerate(grams) if many[g] > 1 for p_ in range(k, k + 5)}
-        hot = lambda x: len(x.split()) >= p["line_words"] and len(held[h, x]) > p["docs"] and len(held[h, x]) * 100 > len(texts[h]) * p["percent"]
+        hot = lambda x: len(x.split()) >= p["line_words"] and len(held[h, x]) > p["docs"]
         gone = sum(len(WS.findall(x)) for x in lines if hot(norm(x)))
         failed = len(w) < p["min_words"] or 100 * len(repeat) > p["repeat"] * len(w)
         left = len(w) - gone
@@ -129,21 +128,31 @@ def quality_docs():
     return docs + list(DOCS)
 
 
-def test_quality_matches_brute_force(spark):
+@pytest.mark.parametrize("once,limit", [(False, 1000), (True, 1000), (False, 0)])
+def test_quality_matches_brute_force(spark, once, limit):
     docs = quality_docs()
-    got = Counter(tuple(r) for r in quality.quality(table(spark, docs)).select(*COLUMNS).collect())
-    assert got == brute_quality(docs)
+    got = Counter(tuple(r) for r in quality.quality(table(spark, docs), texts_once=once, broadcast_lines=limit).select(*COLUMNS).collect())
+    assert got == brute_quality(docs, once)
+
+
+def test_lines_are_counted_by_documents_or_by_texts(spark):
+    df = table(spark, quality_docs())
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(df).collect()}
+    assert not any(kept[200 + i] for i in range(40)) and kept[5] and not any(kept[100 + i] for i in range(5))
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(df, texts_once=True).collect()}
+    assert all(kept[200 + i] for i in range(40)) and kept[5] and not any(kept[100 + i] for i in range(5))
 
 
-def test_quality_keeps_copies_and_drops_depleted(spark):
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality(table(spark, quality_docs())).collect()}
-    assert all(kept[200 + i] for i in range(40)) and kept[5]
-    assert not any(kept[100 + i] for i in range(5))
+def test_repeated_rows_of_a_document_count_once(spark):
+    docs = [(1, "a line of one document\n" + " ".join(f"w{k}" for k in range(30)), "h")] * 30 + [(None, "a line without an id\n" + " ".join(f"v{k}" for k in range(30)), "h")] * 30
+    got = quality.quality(table(spark, docs)).collect()
+    assert len(got) == 60 and all(r["kept"] and not r["removed_words"] for r in got)
+    assert quality.apply_quality(table(spark, docs)).count() == 60
 
 
 def test_apply_quality_takes_hot_lines_out_and_keeps_columns(spark):
     df = table(spark, quality_docs())
-    out = quality.apply_quality(df)
+    out = quality.apply_quality(df, texts_once=True)
     assert out.columns == df.columns
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert "This very line" not in texts[5] and "# * 5 %" in texts[5] and 100 not in texts and texts[200]
