@@ -99,6 +99,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = common.ascii_lower(F.btrim("line", F.lit(common.BLANKS)))
     keyed = lines.select("doc", "th", "pos", key.alias("key")).where(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"), "doc", "th", "pos")
+    # the range partitioning samples its input; lines are cut and hashed once
+    hashed = common.materialize(hashed, "hashes")
     order = ["h1", "h2", "doc", "th", "pos"]
     found = common.materialize(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream, _STREAM), "lines")
     ended = found.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
@@ -111,12 +113,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """The documents with dropped lines taken out of the text; columns n_lines, n_dropped and kept_text are added (replaced if there)."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), F.col("n_dropped").alias("__n"), F.col("bitmap").alias("__bits"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"__own": F.col(id_col).cast("long"), "__hash": F.xxhash64(text)})
-    both = own.join(maps, (F.col("__own") == F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
-    kept = F.when(F.col("__bits").isNull(), F.col(text_col)).otherwise(_apply(F.when(F.col("__bits").isNotNull(), F.col(text_col)), F.col("__bits")))
-    return both.withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.coalesce("__n", F.lit(0).cast("long")), "kept_text": kept}).drop("__own", "__hash", "__id", "__th", "__n", "__bits")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col(id_col).alias("id"), "text_hash", "n_dropped", "bitmap")
+    filled = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(common.packed(docs), F.col(id_col).cast("long").alias("own"), F.xxhash64(filled).alias("hash"))
+    both = own.join(maps, (F.col("own") == F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
+    text, bits = F.col("row")[text_col], F.col("bitmap")
+    kept = F.when(bits.isNull(), text).otherwise(_apply(F.when(bits.isNotNull(), text), bits))
+    n = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
+    return both.select(*common.unpacked(docs, n_lines=n, n_dropped=F.coalesce("n_dropped", F.lit(0).cast("long")), kept_text=kept))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
