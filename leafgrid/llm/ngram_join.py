@@ -1,7 +1,7 @@
 """N-gram Jaccard join: grouped prefix join over word shingles.
 
-A set's shingles are ordered from rare to frequent (a fixed-size count sketch
-over all documents gives the order, ties by hash; any total order is right, a
+A set's shingles are ordered from rare to frequent (a count sketch over all
+documents gives the order, ties by hash; any total order is right, a
 good one is fast).  Two sets can only reach the threshold if they share a
 shingle within their prefixes, at places that leave room for the overlap.
 Documents with identical prefixes and size form one group and enter the
@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm import common, kernels
 
-#: Counters of the sketch, a power of two; 4 bytes each, whatever the input.
-SKETCH = 1 << 21
+#: Counters of the sketch and bits of a bitmap: a power of two with so many for each row, between these limits (128 MB).
+SKETCH_ROW, SKETCH_LEAST, SKETCH_MOST = 8, 1 << 21, 1 << 24
+BITS_ROW, BITS_LEAST, BITS_MOST = 32, 1 << 25, 1 << 30
 #: Expected members of one part of a hot list.
 PART = 4096
-#: Bits of a bitmap over ids, 4 MB whatever their number.
-BITS = 1 << 25
+
+
+def _power(n: int, least: int, most: int) -> int:
+    """The power of two from n up, between two others."""
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -69,7 +73,7 @@ def _fits(m, p, n, q, percent: int) -> np.ndarray:
 
 
 def _pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists (rows sorted by list): the pairs of different components that fit; lists of two parts pair across them only."""
+    """Of lists (rows sorted by list and size): the pairs of different components that fit; lists of two parts pair across them only."""
     c = {x: t.column(x).to_numpy() for x in ("token", "part", "other", "node", "label", "n", "p", "side")}
     new = np.ones(len(c["token"]), dtype=bool)
     new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1]) | (c["other"][1:] != c["other"][:-1])
@@ -92,8 +96,10 @@ def _pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         take(i, i + step)
         step += 1
     for a, k in zip(starts[~small], size[~small], strict=True):
+        # rows of a list are sorted by size: no row links with one beyond its limit
+        upto = a + np.searchsorted(c["n"][a : a + k], c["n"][a : a + k].astype(np.int64) * 100 // percent, side="right")
         for x in range(a, a + k - 1):
-            j = np.arange(x + 1, a + k)
+            j = np.arange(x + 1, upto[x - a])
             take(np.full(len(j), x), j)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -126,26 +132,27 @@ def _stream_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield out(pa.Table.from_batches(kept))
 
 
-def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = kernels.mix(ids.view(np.uint64)) % np.uint64(BITS)
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    at = kernels.mix(ids.view(np.uint64)) % np.uint64(size)
     return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap over hashed ids, of fixed size.  It only spares work: what it lets through wrongly, a join or a check drops."""
+    """A bitmap over hashed ids.  It only spares work: what it lets through wrongly, a join or a check drops."""
+    size = _power(ids.count() * BITS_ROW, BITS_LEAST, BITS_MOST)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        seen = np.zeros(BITS // 8, dtype=np.uint8)
+        seen = np.zeros(size // 8, dtype=np.uint8)
         for b in batches:
-            byte, bit = _bits(b.column("id").to_numpy())
+            byte, bit = _bits(b.column("id").to_numpy(), size)
             np.bitwise_or.at(seen, byte, bit)
         return seen
 
-    return common.merged(ids.select("id"), mark, BITS // 8, "uint8", "or")
+    return common.merged(ids.select("id"), mark, size // 8, "uint8", "or")
 
 
 def _among(b: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
-    byte, bit = _bits(b.column("id").to_numpy())
+    byte, bit = _bits(b.column("id").to_numpy(), len(seen) * 8)
     return b.filter(pa.array((seen[byte] & bit) > 0))
 
 
@@ -155,27 +162,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     Texts are shorter than their shingle hashes, so texts travel and the sets
     are made where a pair meets.
     """
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     wanted = common.materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(classes.select("node", "id"), "node"), "wanted")
     seen = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
     some = docs.mapInArrow(lambda it: (_among(b, seen.value) for b in it), "id long, text string")
-    texts = common.materialize(some.join(wanted, "id").select("node", "text"), "texts")
+    texts = common.materialize(some.join(wanted, "id").select("node", "text", F.xxhash64("text").alias("th")), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own, sure = None, None, False
         for b in (p for whole in batches for p in kernels.pieces(whole, "x")):
             ok = np.zeros(b.num_rows, dtype=bool)
-            nodes = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
-            for i, ((a, node), s) in enumerate(zip(nodes, kernels.shingle_sets(b.column("x"), k), strict=True)):
-                if node != last:  # rows of a node follow each other
-                    last, own = node, next(kernels.shingle_sets(b.column("y").slice(i, 1), k))
+            nodes = zip(*(b.column(c).to_pylist() for c in ("a", "b", "th")), strict=True)
+            for i, ((a, node, th), s) in enumerate(zip(nodes, kernels.shingle_sets(b.column("x"), k), strict=True)):
+                if (node, th) != last:  # rows of a node and text mostly follow each other
+                    last, own = (node, th), next(kernels.shingle_sets(b.column("y").slice(i, 1), k))
                     sure = _prints(own, len(own))[1] == node
                 n = len(np.intersect1d(s, own, assume_unique=True))
                 # two texts under one id: the other one is no member of the class
                 ok[i] = sure and _prints(s, len(s))[1] == a and 100 * n >= percent * (len(s) + len(own) - n)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y"), "th"), "b")
+    return both.select("a", "b", "x", "y", "th").mapInArrow(check, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -191,22 +200,26 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     neither smallest nor reached: its component is null.  Ids must be integers.
     An empty table gives no rows; other columns are not read.
 
+    Rows of one id with different texts are documents that share its place: each
+    has its own set and links, and lends its id to its component.
+
     Sets are compared as 64-bit shingle hashes, equal sets found by 128 bits.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = base.where("id is not null")
+    cells = _power(known.count() * SKETCH_ROW, SKETCH_LEAST, SKETCH_MOST)
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        total = np.zeros(cells, dtype=np.int64)
         for b in batches:
             for p in kernels.pieces(b, "text"):
                 sets = list(kernels.shingle_sets(p.column("text"), words))
                 if sets:
-                    total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                    total += np.bincount((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
         return total
 
-    counts = common.merged(known.select("text"), count, SKETCH, "uint32")
-    mean = int(counts.sum(dtype=np.int64)) // SKETCH
+    counts = common.merged(known.select("text"), count, cells, "int64")
+    mean = int(counts.sum()) // cells
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +245,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = common.materialize(signed.where("n > 0").groupBy("node", "high", "grp", "n").agg(F.min("id").alias("id")), "classes")
     groups = common.materialize(classes.groupBy("grp", "n").agg(F.min(F.struct("node", "id")).alias("first"), F.count(F.lit(1)).alias("members")).select("grp", "n", "first.node", "first.id", "members"), "groups")
     shown = docs.sparkSession.sparkContext.broadcast(_bitmap(groups))
+    posting = signed.where("n > 0").select("id", "n", "prefix", "parts")
+    if groups.count() * 8 > BITS_MOST:  # the largest bitmap would let many others through
+        posting = posting.join(groups.select("id", "n").distinct(), ["id", "n"], "left_semi")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +263,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = np.where(parts > 1, 1 + (kernels.mix(ids.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "id": pa.array(ids), "n": pa.array(n), "p": pa.array(p)})
 
-    posts = signed.where("n > 0").select("id", "n", "prefix", "parts").mapInArrow(post, "token long, part int, id long, n int, p int")
+    posts = posting.mapInArrow(post, "token long, part int, id long, n int, p int")
     # lists with two members or more, each with its first member; parts of hot lists count from 1 and may have one
     over = Window.partitionBy("token", "part")
     starred = posts.withColumns({"c": F.min(F.struct("id", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
@@ -258,8 +274,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = lists.select(F.struct("id", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
     fits = f"100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n) and least(m.n - m.p, c.n - c.p) * {100 + percent} >= {percent} * (m.n + c.n)"
     stars = stars.where("m.id <> c.id").where(fits).select("m.id", "m.n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")).distinct()
-    # ids to the first classes of their groups
-    heads = signed.where("n > 0").select("id", "grp", "n").join(groups.select("grp", "n", F.col("node").alias("head"), "members"), ["grp", "n"]).distinct()
+    # ids to the first classes of the groups that they post for; ids that the bitmap let through wrongly end here
+    heads = groups.select("id", "n", "grp", F.col("node").alias("head"))
     stars = stars.join(heads.select("id", "n", F.col("head").alias("x")), ["id", "n"]).join(heads.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("head").alias("y")), ["cid", "cn"])
     stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # members of a group: their prefixes agree, so the star's centre is the group's first
@@ -278,12 +294,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # every part meets itself and every other part of its list once
     met = rows.join(mixed, "token").selectExpr("token", "node", "label", "n", "p", "part as side", "explode(sequence(if(top > 0, 1, 0), top)) as x").selectExpr("token", "least(side, x) as part", "greatest(side, x) as other", "node", "label", "n", "p", "side")
     key = ["token", "part", "other"]
-    more = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda it: _stream_pairs(it, percent), "a long, b long")
+    more = met.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(lambda it: _stream_pairs(it, percent), "a long, b long")
     second = common.materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "second")
     extra = common.materialize(_verified(second, known, classes, words, percent), "links")
-    merged = common.components(links.union(extra)).withColumnRenamed("node", "of")
+    # components that a second link joins, as nodes of a smaller graph
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+    joined = extra.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = common.components(joined).select(F.col("node").alias("of"), F.col("label").alias("top"))
 
-    classed = classes.join(merged, F.col("node") == F.col("of"), "left").select("node", "high", "id", F.coalesce("label", "node").alias("label"))
+    classed = classes.join(labels, "node", "left").select("node", "high", "id", F.coalesce("label", "node").alias("own")).join(merged, F.col("own") == F.col("of"), "left").select("node", "high", "id", F.coalesce("top", "own").alias("label"))
     least = classed.groupBy("label").agg(F.min("id").alias("component_id"))
     named = classed.join(least, "label").select("node", "high", "component_id")
     out = signed.select("id", "n", "node", "high").join(named, ["node", "high"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
