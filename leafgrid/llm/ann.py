@@ -1,12 +1,17 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in every shard.
 
-Vectors are dealt by id to shards of bounded size.  In a shard, points enter the
+Vectors are dealt by id to shards, as many as the cluster has cores as long as
+these fit a task, so a query's work grows with the shards' depth and not with
+their number; beyond, shards keep the largest size that fits.  In a shard, points enter the
 graph in growing batches: a greedy search over the graph so far proposes
 neighbours, relaxed distance pruning keeps a diverse few of them (a candidate
 goes if a kept one is nearer to it, by the factor ALPHA, than the point is), and
 edges are added in both directions.  A query walks every shard by beam search
 from the point nearest the shard's mean; the shards' nearest are merged.
-Reported scores are exact.  Equal vectors are one point of the graph.
+Reported scores are exact.  Equal vectors are one point of the graph.  Distances
+within a graph are those of vectors scaled to the shard's spread, so very large
+and very small ones neither overflow nor vanish; a walk that finds fewer points
+than asked for gives way to a look at the whole shard.
 """
 
 from __future__ import annotations
@@ -20,8 +25,15 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm import common
 
-#: Rows a shard is meant to have, queries of a block, edges of a point, beams of building and search, pruning factor, points a step expands.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, EXPAND = 4096, 256, 32, 64, 128, 1.2, 4
+#: Rows below which a shard is not split for the sake of cores, and most bytes of a shard's vectors.
+SHARD, SHARD_BYTES = 4096, 1 << 25
+#: Queries of a block, edges of a point, beams of building and search, pruning factor, points a step expands.
+BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA, EXPAND = 256, 32, 64, 128, 1.2, 4
+
+
+def _order(x: np.ndarray, sq: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of each query to its points, less the query's own square."""
+    return sq[at] - 2 * np.einsum("md,mkd->mk", q, x[at])
 
 
 def _near(x: np.ndarray, sq: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -29,8 +41,12 @@ def _near(x: np.ndarray, sq: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.nd
     return np.maximum(sq[at] - 2 * np.einsum("md,mkd->mk", q, x[at]) + np.einsum("md,md->m", q, q)[:, None], 0)
 
 
-def beam(x: np.ndarray, sq: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``width`` nearest points that a greedy walk finds for each query, nearest first (-1: none), with squared distances."""
+def beam(x: np.ndarray, sq: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` nearest points that a greedy walk finds for each query, nearest first (-1: none).
+
+    The query's own square is left out of distances: it orders nothing, and of a
+    far query it would drown the rest.
+    """
     m, n = len(q), len(x)
     seen = np.zeros((m, n + 1), dtype=bool)
     seen[:, start] = seen[:, n] = True
@@ -39,7 +55,7 @@ def beam(x: np.ndarray, sq: np.ndarray, edges: np.ndarray, start: int, q: np.nda
     dist = np.full((m, width), np.inf, dtype=np.float32)
     done = np.ones((m, width), dtype=bool)
     ids[:, 0], done[:, 0] = start, False
-    dist[:, 0] = _near(x, sq, q, np.full((m, 1), start))[:, 0]
+    dist[:, 0] = _order(x, sq, q, np.full((m, 1), start))[:, 0]
     live = np.arange(m)
     while len(live):
         open_ = np.where(done[live], np.inf, dist[live])
@@ -56,13 +72,13 @@ def beam(x: np.ndarray, sq: np.ndarray, edges: np.ndarray, start: int, q: np.nda
         near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = n
         seen[sel, near] = True
-        d = np.where(near < n, _near(x, sq, q[live], np.minimum(near, n - 1)), np.inf).astype(np.float32)
+        d = np.where(near < n, _order(x, sq, q[live], np.minimum(near, n - 1)), np.inf).astype(np.float32)
         all_d = np.concatenate([dist[live], d], axis=1)
         keep = np.argsort(all_d, axis=1, kind="stable")[:, :width]
         dist[live] = np.take_along_axis(all_d, keep, 1)
         ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), keep, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], near >= n], axis=1), keep, 1)
-    return np.where(np.isinf(dist), -1, ids), dist
+    return np.where(np.isinf(dist), -1, ids)
 
 
 def prune(x: np.ndarray, sq: np.ndarray, cand: np.ndarray, dist: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -109,7 +125,7 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
         while at < n:
             size = 256 if again else min(256, max(1, at))
             who = order[at : at + size]
-            found, _ = beam(x, sq, edges, start, x[who], BUILD_BEAM)
+            found = beam(x, sq, edges, start, x[who], BUILD_BEAM)
             settle(who, np.concatenate([found, edges[who]], axis=1))
             # the other direction
             to, back = edges[who].ravel(), np.repeat(who, DEGREE)
@@ -131,13 +147,56 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     return edges, start
 
 
+def _scaled(v: np.ndarray, mean: np.ndarray, unit: float) -> np.ndarray:
+    """Vectors around a mean in units of the shard's spread, in single precision; halves keep differences of huge vectors finite.
+
+    Of a vector very far off, its direction is what orders the shard's points.
+    """
+    with np.errstate(over="ignore"):
+        x = (v / 2 - mean / 2) / unit
+    x = np.nan_to_num(x, posinf=1e300, neginf=-1e300)
+    return (x * np.minimum(1, 1e9 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300))).astype(np.float32)
+
+
+def _frame(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """The mean of a shard's points and the largest component around it (halved)."""
+    mean = (points / len(points)).sum(axis=0)
+    return mean, max(float(np.abs(points / 2 - mean / 2).max()), 5e-324)
+
+
+def _distances(points: np.ndarray, found: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances of each query to its points in double precision, components added in their order.
+
+    Where squares would overflow or vanish, both vectors are scaled by a power of two.
+    """
+    total, top = np.zeros(found.shape), np.zeros(found.shape)
+    with np.errstate(over="ignore", under="ignore"):
+        for j in range(points.shape[1]):
+            d = points[found, j] - queries[:, j : j + 1]
+            total += d**2
+            np.maximum(top, np.abs(d), out=top)
+    out = np.sqrt(total)
+    for i, k in zip(*np.nonzero((top > 1e150) | ((top < 1e-150) & (top > 0))), strict=True):
+        p, q = points[found[i, k]], queries[i]
+        unit = 2.0 ** min(1000, max(-1000, int(np.floor(np.log2(max(top[i, k] if np.isfinite(top[i, k]) else 1e308, 5e-324))))))
+        with np.errstate(over="ignore"):
+            out[i, k] = np.sqrt(((p / unit - q / unit) ** 2).sum()) * unit
+    return out
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    """The vectors of a group's rows, which have one length."""
+    flat = t.column("v").combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+
 def _index(t: pa.Table) -> pa.Table:
     """One row with the graph of a shard's rows."""
     ids = t.column("id").to_numpy()
-    v = np.array(t.column("v").to_pylist(), dtype=np.float64)
-    _, first, back = np.unique(v.astype(np.float64), axis=0, return_index=True, return_inverse=True)
-    x = (v[first] - v[first].mean(axis=0)).astype(np.float32)
-    edges, start = build(x)
+    v = _matrix(t)
+    _, first, back = np.unique(v, axis=0, return_index=True, return_inverse=True)
+    edges, start = build(_scaled(v[first], *_frame(v[first])))
     by = np.lexsort((ids, back.ravel()))
     ends = np.cumsum(np.bincount(back.ravel()))
     cols = {"ids": ids[by], "ends": ends, "points": v[first], "edges": edges.astype(np.int32)}
@@ -152,13 +211,21 @@ def _search(row: dict, k: int) -> pa.RecordBatch:
     edges = np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE)
     qids = np.frombuffer(row["qids"], np.int64)
     queries = np.frombuffer(row["queries"], np.float64).reshape(-1, dim)
-    mean = points.mean(axis=0)
-    x = (points - mean).astype(np.float32)
-    found, _ = beam(x, np.einsum("nd,nd->n", x, x), edges, row["start"], (queries - mean).astype(np.float32), BEAM)
-    score = np.zeros(found.shape)
-    for j in range(dim):  # in the order of components, as a plain loop would add them
-        score += (points[found, j] - queries[:, j : j + 1]) ** 2
-    score = np.where(found < 0, np.inf, np.sqrt(score))
+    frame = _frame(points)
+    x = _scaled(points, *frame)
+    found = beam(x, np.einsum("nd,nd->n", x, x), edges, row["start"], _scaled(queries, *frame), max(BEAM, 4 * k))
+    score = np.where(found < 0, np.inf, _distances(points, found, queries))
+    # the query's own point may be among them
+    short = (found >= 0).sum(axis=1) < min(k + 1, len(points))
+    if short.any():
+        most = max(found.shape[1], min(len(points), k + 1))
+        found = np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1)
+        score = np.pad(score, ((0, 0), (0, most - score.shape[1])), constant_values=np.inf)
+        for i in np.flatnonzero(short):
+            d = _distances(points, np.arange(len(points))[None], queries[i : i + 1])[0]
+            by = np.lexsort((ids[np.append(0, ends[:-1])], d))[:most]
+            found[i], score[i] = -1, np.inf
+            found[i, : len(by)], score[i, : len(by)] = by, d[by]
     out = []
     for i, q in enumerate(qids.tolist()):
         near = []
@@ -191,14 +258,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     base = common.materialize(usable(vectors), "vectors")
     asked = common.materialize(usable(queries), "queries")
-    shards = max(1, -(-base.count() // SHARD))
+    rows, components = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(1, -(-components * 8 // SHARD_BYTES), min(-(-rows // SHARD), vectors.sparkSession.sparkContext.defaultParallelism))
     blocks = max(1, -(-asked.count() // BLOCK))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     shape = "dim int, shard int, start int, ids binary, ends binary, points binary, edges binary"
-    index = common.materialize(dealt.groupBy("dim", "shard").applyInArrow(_index, shape), "graph")
+    # few rows, much work: a task for each shard, which is not merged with others
+    index = common.materialize(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, shape), "graph")
 
     def pack(t: pa.Table) -> pa.Table:
-        v = np.array(t.column("v").to_pylist(), dtype=np.float64)
+        v = _matrix(t)
         return pa.table({"dim": t.column("dim").slice(0, 1), "qids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([v.tobytes()], pa.binary())})
 
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").applyInArrow(pack, "dim int, qids binary, queries binary")
@@ -210,7 +279,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             for i in range(b.num_rows):
                 yield _search({c: b.column(c)[i].as_py() for c in b.schema.names}, k)
 
-    found = visits.join(index, ["dim", "shard"]).mapInArrow(search, "query_id long, vec_id long, score double")
+    found = visits.join(index, ["dim", "shard"]).repartition(shards * 4).mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

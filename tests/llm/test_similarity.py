@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from leafgrid.llm import ann, common, ngram_join
 
@@ -133,3 +134,43 @@ def test_nearest_odd_vectors_and_ties(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df).collect()]
     assert sorted(got) == sorted(exact(good + [odd[7]], good + [odd[7]]))
     assert ann.nearest(vectors(spark, []), vectors(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e25, 1e-25, 1e200, 1e-200])
+def test_nearest_of_large_and_small_vectors(spark, monkeypatch, scale):
+    monkeypatch.setattr(ann, "SHARD", 30)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(x) * scale for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id < 12")).collect()}
+    want = exact([(i, list(v)) for i, v in enumerate(base)], [(i, list(v)) for i, v in enumerate(base[:12])])
+    assert {k: v[0] for k, v in got.items()} == {(q, r): i for q, r, i in want}
+    assert all(got[q, r][1] == pytest.approx(np.linalg.norm(base[q] - base[i]) * scale, rel=1e-9) for q, r, i in want)
+
+
+def test_far_queries_and_outliers_do_not_spoil_a_shard(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)] + [(900, [1e6, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id in (3, 77, 900)")).collect()}
+    want = set(exact(rows, [r for r in rows if r[0] in (3, 77, 900)]))
+    assert len(got & want) >= 27 and {g[0] for g in got} == {3, 77, 900} and len(got) == 30
+
+
+def test_nearest_looks_at_the_whole_shard_if_the_walk_finds_too_few(spark, monkeypatch):
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    row = ann._index(pa.table({"id": [r[0] for r in rows], "v": [r[1] for r in rows], "dim": pa.array([2] * 40, pa.int32()), "shard": pa.array([0] * 40, pa.int32())})).to_pylist()[0]
+    row["edges"] = np.full((41, ann.DEGREE), 40, np.int32).tobytes()  # a graph without edges
+    got = ann._search(row | {"qids": np.array([5]).tobytes(), "queries": np.array([5.0, 1.0]).tobytes()}, 4)
+    assert got.column("vec_id").to_pylist() == [4, 6, 3, 7] and df.count() == 40
+
+
+def test_rows_of_an_id_with_different_texts_keep_their_links(spark):
+    """Either text of an id may come first where pairs are verified."""
+    rng = random.Random(3)
+    words = [[f"{a}{rng.randrange(10**6)}" for _ in range(60)] for a in "abcd"]
+    docs = [(5, " ".join(words[0])), (5, " ".join(words[1])), (9, " ".join(words[0][:-1] + ["x"])), (10, " ".join(words[1][:-1] + ["y"])), (11, " ".join(words[2]))]
+    for order in (docs, docs[::-1]):
+        got = [(r["doc_id"], r["component_id"]) for r in ngram_join.similarity_classes(table(spark, order)).collect()]
+        assert sorted(got) == [(5, 5), (5, 5), (9, 5), (10, 5), (11, 11)]
