@@ -8,7 +8,8 @@ a text.  Every turn is first rendered as it is and parsed again; where the
 parser does not give back the very same role and text, the text is escaped and
 the turn rendered anew, until both agree.  Escapes are two characters, a
 backslash and a letter that is no backslash, so undoing them is unambiguous.
-Finally the whole conversation is parsed and compared with its source.
+Finally the whole conversation is parsed and compared with its source; ``exact``
+tells the outcome.
 """
 
 from __future__ import annotations
@@ -57,11 +58,12 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
-    """Per conversation: id, formatted, turns (read back), loss_spans.
+    """Per conversation: id, formatted, turns (read back), loss_spans, exact.
 
     loss_spans are (start, stop) offsets in code points of the texts, as
-    escaped, whose role is ``learn``: what a model is trained on.  A conversation
-    that does not read back as its source raises an error.
+    escaped, whose role is ``learn``: what a model is trained on.  exact tells
+    whether the conversation reads back as its source; the escapes see to it
+    that all do, and one that did not would be a row with exact false.
 
     Turns come by number, null first; ties by role, then text; repeated rows are
     turns of their own.  Null roles and texts are empty strings; rows with a null
@@ -85,8 +87,7 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     packed = placed.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("n", "made", F.struct("role", "text").alias("source"), span.alias("span")))).alias("all"))
     done = packed.select("conv", F.array_join(F.col("all.made"), GLUE).alias("formatted"), F.col("all.source").alias("source"), F.filter(F.col("all.span"), lambda s: s.isNotNull()).alias("loss_spans"))
     read = done.withColumn("turns", parse(F.col("formatted")))
-    kept = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("conversation reads back otherwise: "), F.coalesce(F.col("conv").cast("string"), F.lit("null")))))
-    return read.select(F.col("conv").alias(conv_col), "formatted", kept.alias("turns"), "loss_spans")
+    return read.select(F.col("conv").alias(conv_col), "formatted", "turns", "loss_spans", F.col("turns").eqNullSafe(F.col("source")).alias("exact"))
 
 
 def learned(formatted: Column, spans: Column) -> Column:
