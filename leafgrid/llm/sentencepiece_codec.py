@@ -31,7 +31,8 @@ from tokenizers import Regex, Tokenizer, models, normalizers
 
 from leafgrid.llm import common, kernels
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The session's setting that names the model file, and the file of the registered queries where it is unset.
+MODEL_CONF, REGISTERED = "spark.leafgrid.sentencepiece.model", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -277,7 +278,13 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
 
 def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of token ids; null ids are an empty text."""
+    """(id, text) per row of token ids, the bytes of their pieces without the dummy prefix.
+
+    A null or empty list is an empty text.  Bytes that are no UTF-8 (byte pieces
+    in an order that ``encode`` never gives) become U+FFFD.  Null ids of rows,
+    ties, long lists and repeated rows are carried through; an empty table gives
+    no rows; other columns are not read.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +299,16 @@ def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str =
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
-def model_bytes(path: str = MODEL) -> bytes:
+def model_bytes(path: str) -> bytes:
     """The driver reads the file; executors get its bytes."""
     with open(path, "rb") as f:
         return f.read()
 
 
+def session_model(spark: SparkSession) -> bytes:
+    return model_bytes(spark.conf.get(MODEL_CONF, None) or REGISTERED)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, model_bytes()).select("doc_id", "n_tokens", "ids", "exact")
+    return encode(docs, session_model(spark)).select("doc_id", "n_tokens", "ids", "exact")

@@ -61,8 +61,8 @@ def texts():
 def test_tokens_equal_those_of_the_reference_library():
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=spc.MODEL)
-    codec = spc.Codec(spc.model_bytes())
+    sp = sentencepiece.SentencePieceProcessor(model_file=spc.REGISTERED)
+    codec = spc.Codec(spc.model_bytes(spc.REGISTERED))
     assert codec.cut and codec.newline
     all_texts = texts()
     for part in (all_texts[:20], all_texts[20:120], all_texts[20:], all_texts[:20]):  # the memory serves later ones
@@ -76,7 +76,7 @@ def test_tokens_equal_those_of_the_reference_library():
 
 
 def test_whole_text_encoding_gives_the_same(monkeypatch):
-    codec = spc.Codec(spc.model_bytes())
+    codec = spc.Codec(spc.model_bytes(spc.REGISTERED))
     want = codec.encode(pa.array(ODD, pa.string()))
     codec.cut = False
     got = codec.encode(pa.array(ODD, pa.string()))
@@ -88,12 +88,16 @@ def _piece(text, score, kind=1):
     return b"\x0a" + bytes([len(body)]) + body
 
 
-def test_a_unigram_model_is_read_and_matches():
-    import sentencepiece
-
+def _unigram():
     pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("▁", -2, 1), ("▁a", -1.5, 1), ("ab", -2.5, 1), ("b", -3, 1), ("a", -3.2, 1), ("▁ab", -2.2, 1), ("c", -4, 1)] + [(f"<0x{i:02X}>", -20, 6) for i in range(256)]
     trainer = b"\x18\x01\x98\x02\x01"  # unigram, byte fallback
-    data = b"".join(_piece(*p) for p in pieces) + b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a\x04\x18\x01\x20\x00"
+    return b"".join(_piece(*p) for p in pieces) + b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a\x04\x18\x01\x20\x00"
+
+
+def test_a_unigram_model_is_read_and_matches(spark):
+    import sentencepiece
+
+    data = _unigram()
     model = spc.read_model(data)
     assert model.unigram and model.byte_fallback and model.pieces[4] == "▁a" and model.scores[4] == -1.5 and not model.remove_extra_spaces
     sp = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -102,18 +106,26 @@ def test_a_unigram_model_is_read_and_matches():
     sample = ["".join(rng.choice("aabbc zé\n") for _ in range(rng.randint(0, 30))) for _ in range(200)]
     ids, ptr = codec.encode(pa.array(sample))
     assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:], strict=True)] == [sp.encode(s) for s in sample]
+    # through the operator, whole texts, nulls and repeated rows
+    rows = [*enumerate(sample), (500, None), (501, ""), (502, "ab é cab\n" * 5000), (None, "a b"), (3, sample[3])]
+    out = spc.encode(spark.createDataFrame(rows, "doc_id long, text string"), data)
+    texts = {i: t or "" for i, t in rows}
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["ids"] == sp.encode(texts[r["doc_id"]]) and r["exact"] for r in got)
+    back = spc.decode(out, data).collect()
+    assert len(back) == len(rows) and all(r["text"] == texts[r["doc_id"]] for r in back)
 
 
 def test_encode_and_decode_tables(spark):
     rows = [(i, t, 1) for i, t in enumerate(ODD)] + [(None, "x y", 1), (2, ODD[2], 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    out = spc.encode(df, spc.model_bytes())
+    out = spc.encode(df, spc.model_bytes(spc.REGISTERED))
     got = out.collect()
     assert len(got) == len(rows) and {r["doc_id"] for r in got if not r["exact"]} == {3, 16}
     assert all(len(r["ids"]) == r["n_tokens"] for r in got)
-    back = {r["doc_id"]: r["text"] for r in spc.decode(out, spc.model_bytes()).collect()}
+    back = {r["doc_id"]: r["text"] for r in spc.decode(out, spc.model_bytes(spc.REGISTERED)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(ODD) if i not in (3, 16))
-    assert spc.encode(df.limit(0), spc.model_bytes()).collect() == []
+    assert spc.encode(df.limit(0), spc.model_bytes(spc.REGISTERED)).collect() == []
 
 
 # --- toxicity -----------------------------------------------------------------
