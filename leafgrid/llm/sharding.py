@@ -66,15 +66,20 @@ def place(df: DataFrame, key_col: str, shards: Sequence[str] = SHARDS, slots: in
     """
     owners = ",".join(map(str, fill(shards, slots)))
     names = F.array(*[F.lit(s) for s in shards])
-    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("__slot", "__owner"))
-    table = table.select(F.col("__slot").cast("long"), F.element_at(names, F.col("__owner").cast("int") + 1).alias("__shard"))
+    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("at", "owner"))
+    table = table.select(F.col("at").cast("long"), F.element_at(names, F.col("owner").cast("int") + 1).alias("name"))
     # `slots` rows, whatever the input
-    out = df.withColumn(slot_col, slot(F.col(key_col), slots)).join(F.broadcast(table), F.col(slot_col) == F.col("__slot"))
-    return out.withColumn(shard_col, F.col("__shard")).drop("__slot", "__shard")
+    out = df.select(common.packed(df), slot(F.col(key_col), slots).alias("own")).join(F.broadcast(table), F.col("own") == F.col("at"))
+    return out.select(*common.unpacked(df, **{slot_col: F.col("own"), shard_col: F.col("name")}))
 
 
 def write_shards(df: DataFrame, key_col: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
-    """Writes a folder per shard; tasks write what they hold, so no shard has to fit one task."""
+    """Writes a folder per shard; tasks write what they hold, so no shard has to fit one task.
+
+    All rows are written, repeated ones as often as they come, null keys with
+    the empty one; a shard without rows, or any of an empty table, has no folder.
+    A column named ``shard`` or ``slot`` gives way, as in ``place``.
+    """
     place(df, key_col, shards, slots).drop("slot").write.partitionBy("shard").parquet(path)
 
 
