@@ -1,4 +1,11 @@
-"""A corpus from quality rules to token ids, each stage on all that the one before it kept."""
+"""A corpus from quality rules to token ids, each stage on all that the one before it kept.
+
+All stages but the last return the columns of their input.  Null texts count as
+empty ones, null sources are a source, null ids are carried along; repeated rows
+are documents of their own to the rules and the mix, and share the fate of their
+id in the dedup stages; an empty table stays empty.  Columns that the stages
+don't read, whatever their names, come through.
+"""
 
 from __future__ import annotations
 
@@ -9,32 +16,47 @@ from leafgrid.llm import common, line_dedup, mixing, ngram_join, quality, senten
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines above their host's limit."""
-    return _counted(quality.apply_quality(docs), docs)
+    """Documents that the rules keep, without the lines above their host's limit.
+
+    Copies are still in, so documents of equal text count once: a much-copied
+    good text is not taken for boilerplate.  Null and empty texts go.
+    """
+    return _counted(quality.apply_quality(docs, texts_once=True), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; a repeated line stays in its first document only."""
-    return _counted(line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text")), docs)
+    """All documents; a repeated line stays in its first document only.
+
+    A document may lose all its lines and stay as an empty text.  Documents
+    without id keep theirs.
+    """
+    # without the columns that the operator adds, of which the documents may have their own
+    told = line_dedup.dedup_lines(docs.select(common.packed(docs), "doc_id", "text"))
+    return _counted(told.select(*common.unpacked(docs, text=F.col("kept_text"))), docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id.
 
-    Rows that share an id share its fate.
+    Rows that share an id share its fate.  Empty texts and rows without id are
+    alone in their groups and stay.
     """
-    classes = ngram_join.similarity_classes(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    firsts = ngram_join.similarity_classes(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    rows = docs.select(common.packed(docs))
+    return rows.join(firsts, F.col("row.doc_id").cast("long").eqNullSafe(F.col("first")), "left_semi").select(*common.unpacked(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken, a part of it where a budget ends within it."""
+    """The mix: a document as often as it is taken, a part of it where a budget ends within it.
+
+    Texts without words are never taken.
+    """
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mixed documents."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_bytes())
+    """(doc_id, n_tokens, ids, exact) of the mixed documents, by the session's model."""
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.session_model(spark))
 
 
 def _counted(df: DataFrame, like: DataFrame) -> DataFrame:
