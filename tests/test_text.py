@@ -49,26 +49,58 @@ def test_title_properties(spark):
     assert m == {"bbox": ["1", "2", "3", "4"], "x_wconf": ["91"], "baseline": ["0.01", "-3"]}
 
 
+def walk(*rules):
+    return lambda words: R.walked(LEX, words, *rules)
+
+
 @pytest.mark.parametrize("step,before,after", [
-    (R.shapes, ["sI", "1.ơ", "rnôn", "cla", "bình"], ["sI", "1.ơ", "môn", "cla", "bình"]),
-    (R.codes, ["CCHIN", "004835/RRVT", "UBN", "UBNDX.", "CCHN", "ABCD"], ["CCHN", "004835/BRVT", "UBN", "UBND.", "CCHN", "ABCD"]),
-    (R.places, ["Đất", "Đó", "mảnh", "đất", "đó"], ["Đất", "Đỏ", "mảnh", "đất", "đó"]),
-    (R.places, ["Ap", "Phước", "Long", "Thó"], ["Ấp", "Phước", "Long", "Thọ"]),
-    (R.surnames, ["Pham", "Minh", "pham", "Minh", "Nguyen", "Van", "An"], ["Phạm", "Minh", "pham", "Minh", "Nguyễn", "Van", "An"]),
-    (R.diacritics, ["SƠ", "Y", "TẺ"], ["SƠ", "Y", "TẾ"]),
-    (R.diacritics, ["chuyên", "đôi", "số"], ["chuyển", "đổi", "số"]),
-    (R.diacritics, ["của", "những"], ["của", "những"]),
-    (R.rejoin, ["HỌ", "I", "đồng"], ["HỌI", "đồng"]),
-    (R.rejoin, ["nhà", "trường", "môi", "n", "học"], ["nhà", "trường", "môi", "n", "học"]),
+    (walk(R.shape_rule), ["sI", "1.ơ", "rnôn", "cla", "bình"], ["sI", "1.ơ", "môn", "cla", "bình"]),
+    (walk(R.code_rule), ["CCHIN", "004835/RRVT", "UBN", "UBNDX.", "CCHN", "ABCD"], ["CCHN", "004835/BRVT", "UBN", "UBND.", "CCHN", "ABCD"]),
+    (lambda w: R.placed(LEX, w), ["Đất", "Đó", "mảnh", "đất", "đó"], ["Đất", "Đỏ", "mảnh", "đất", "đó"]),
+    (lambda w: R.placed(LEX, w), ["Ap", "Phước", "Long", "Thó"], ["Ấp", "Phước", "Long", "Thọ"]),
+    (walk(R.surname_rule), ["Pham", "Minh", "pham", "Minh", "Nguyen", "Van", "An"], ["Phạm", "Minh", "pham", "Minh", "Nguyễn", "Van", "An"]),
+    (lambda w: R.accented(LEX, w), ["SƠ", "Y", "TẺ"], ["SƠ", "Y", "TẾ"]),
+    (lambda w: R.accented(LEX, w), ["chuyên", "đôi", "số"], ["chuyển", "đổi", "số"]),
+    (lambda w: R.accented(LEX, w), ["của", "những"], ["của", "những"]),
+    (walk(R.halves_rule, R.broken_rule), ["HỌ", "I", "đồng"], ["HỌI", "đồng"]),
+    (walk(R.halves_rule, R.broken_rule), ["nhà", "trường", "môi", "n", "học"], ["nhà", "trường", "môi", "n", "học"]),
+    (walk(R.broken_rule), ["trường", "hoi", "c;", "x"], ["trường", "học;", "x"]),
+    (walk(R.glue_rule), ["SƠY", "tế"], ["SƠ", "Y", "tế"]),
+    (walk(R.glue_rule), ["HọcSinh,"], ["Học", "Sinh,"]),
+    (walk(R.glue_rule), ["trường"], ["trường"]),
 ])
 def test_repair_steps(step, before, after):
-    assert step(LEX, before) == after
+    assert [w.token for w in step(R.read(before))] == after
+
+
+def test_the_best_edit_must_be_alone():
+    a, b = R.read(["a"]), R.read(["b"])
+    assert R.chosen(iter([])) is None and R.chosen(iter([R.Edit(a), R.Edit(b)])) is None
+    assert R.chosen(iter([R.Edit(a), R.Edit(R.read(["a"]))])).words[0].token == "a"
+    assert R.chosen(iter([R.Edit(a, 1, (1,)), R.Edit(b, 1, (2,))])).words == b
+
+
+def test_codes_are_found_by_pattern_as_by_plain_comparison():
+    import random
+
+    rng = random.Random(2)
+    codes = {"".join(rng.choice("ABC") for _ in range(rng.randint(3, 6))) for _ in range(60)}
+    lex = R.Lexicon(codes=codes)
+
+    def one_off(a, b):
+        less = lambda s: {s[:i] + s[i + 1 :] for i in range(len(s))}
+        return a in less(b) or b in less(a) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1)
+
+    for _ in range(400):
+        piece = "".join(rng.choice("ABC") for _ in range(rng.randint(4, 6)))
+        assert lex.codes_near(piece) == {c for c in codes if len(c) >= 4 and one_off(piece, c)}, piece
 
 
-def test_glued_tokens():
-    assert R.unglue(LEX, ["SƠY", "tế"]) == [["SƠ", "Y"], ["tế"]]
-    assert R.unglue(LEX, ["HọcSinh,"]) == [["Học", "Sinh,"]]
-    assert R.unglue(LEX, ["trường"]) == [["trường"]] and R.unglue(R.Lexicon(), ["abc"]) == [["abc"]]
+def test_continued_skeletons_match_a_plain_search():
+    lex = R.Lexicon(phrases={f"{w} x" for w in ("chuyen", "chuy", "chu", "huy", "ch", "a", "ahuy", "huyen", "uyen")})
+    for s in ("chu", "hu", "huy", "uyen", "ch", "a", "zz"):
+        want = {t for t in lex.forms if len(s) >= 2 and ((t.startswith(s) and 1 <= len(t) - len(s) <= 2) or (len(t) >= 3 and t[1:] == s))}
+        assert lex.longer(s) == want, s
 
 
 def test_whole_chain_and_its_table_form(spark):
