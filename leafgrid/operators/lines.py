@@ -38,38 +38,54 @@ def bold_share(words: DataFrame, block: list[str], num: int = 3, den: int = 5) -
 
 
 def mark_bold(words: DataFrame, page: str = PAGE, line: str = "line_no") -> DataFrame:
-    """Adds ``bold`` from ``ratio`` (stroke width over size, in thousandths).
-
-    The page's reference is the 30th percentile over words of three characters or
-    more, five at least.  A word is bold above 1.25 references (1.6 in lines of
-    single characters).  Lines of three words or more with even strokes are
-    decided as one, lines three quarters bold are bold, and elsewhere a weak bold
-    (below 1.3) needs a bold neighbour.  Limits have a slack of 1e-6 against the
+    """Adds ``bold`` from ``ratio`` (stroke width over size, in thousandths; 0: none measured).
+
+    The page's reference is the 30th percentile over measured words of three
+    characters or more, five at least; without them nothing is bold.  Lines of
+    single characters: bold above 1.6 references.  Else a line's words of two
+    characters or more decide: three or more measured ones with even strokes
+    settle the whole line by their median (1.25); if three quarters of them are
+    above 1.25, all of the line is bold; if not, a word above 1.25 is bold, but
+    one below 1.3 only beside another.  Limits have a slack of 1e-6 against the
     rounding of percentiles.
     """
-    long = F.col("chars") >= 3
+    long, measured = F.col("chars") >= 2, F.col("ratio") > 0
     told = words.withColumn("chars", F.char_length("word"))
-    ref = told.where(long & (F.col("ratio") > 0)).groupBy(page).agg(F.percentile("ratio", F.lit(0.3)).alias("ref"), F.count(F.lit(1)).alias("samples")).where("samples >= 5").drop("samples")
+    ref = told.where((F.col("chars") >= 3) & measured).groupBy(page).agg(F.percentile("ratio", F.lit(0.3)).alias("ref"), F.count(F.lit(1)).alias("samples")).where("samples >= 5").drop("samples")
     w = Window.partitionBy(page, line)
-    told = told.join(ref, page, "left").withColumns({"n": F.count(F.lit(1)).over(w), "longest": F.max("chars").over(w), "middle": F.median("ratio").over(w), "spread": F.max("ratio").over(w) - F.min("ratio").over(w)})
-    limit = F.when(F.col("longest") >= 2, 1.25).otherwise(1.6)
-    told = told.withColumn("raw", F.coalesce(F.col("ratio") > limit * F.col("ref") + 1e-6, F.lit(False)))
-    even = (F.col("n") >= 3) & (F.col("spread") < 0.25 * F.col("middle"))
-    share = F.sum(F.col("raw").cast("long")).over(w)
+    sure = F.when(long & measured, F.col("ratio"))
+
+    def above(c: Column, limit: float) -> Column:
+        return F.coalesce(c > limit * F.col("ref") + 1e-6, F.lit(False))
+
+    told = told.join(ref, page, "left").withColumn("raw", above(F.col("ratio"), 1.25))
+    told = told.withColumns({
+        "long": F.count(F.when(long, 1)).over(w), "heavy": F.count(F.when(long & F.col("raw"), 1)).over(w),
+        "n": F.count(sure).over(w), "middle": F.median(sure).over(w), "spread": F.max(sure).over(w) - F.min(sure).over(w),
+    })
     o = w.orderBy("word_no")
     beside = F.coalesce(F.lag("raw").over(o), F.lit(False)) | F.coalesce(F.lead("raw").over(o), F.lit(False))
     weak = F.col("ratio") < 1.3 * F.col("ref") - 1e-6
-    bold = F.when(even, F.coalesce(F.col("middle") > limit * F.col("ref") + 1e-6, F.lit(False))).when(share * 4 >= F.col("n") * 3, True).otherwise(F.col("raw") & (~weak | beside))
-    return told.withColumn("bold", bold).drop("chars", "ref", "n", "longest", "middle", "spread", "raw")
+    bold = (
+        F.when(F.col("long") == 0, above(F.col("ratio"), 1.6))
+        .when((F.col("n") >= 3) & (F.col("spread") < 0.25 * F.col("middle")), above(F.col("middle"), 1.25))
+        .when(F.col("heavy") * 4 >= F.col("long") * 3, True)
+        .otherwise(F.col("raw") & (~weak | beside))
+    )
+    return told.withColumn("bold", F.col("ref").isNotNull() & bold).drop("chars", "ref", "raw", "long", "heavy", "n", "middle", "spread")
 
 
 def alignment(lines: DataFrame, block: list[str], order: str = "line_no") -> DataFrame:
-    """(block, align) from line edges ``x0, x1``, the column's ``c0, c1`` and the tolerance ``tol``.
-
-    One line: centred if its margins are alike and wide, right if only the left
-    one is wide, else left.  More: justified if left edges (but the first) and
-    right edges (but the last) are straight, else by the straightest of left,
-    right and centre.
+    """(block, align) from line edges ``x0, x1``, the column's ``c0, c1`` and the block's font size ``px``.
+
+    The tolerance is 0.6 sizes or a hundredth of the column, if that is more.
+    One line: centred if its margins are alike (within two tolerances or 4 % of
+    the column) and the left one is over 8 % of it; right if the right margin is
+    below two tolerances and the left one over 30 %; else left.  More lines: the
+    left edges but the first, the right edges but the last, and the centres
+    (1.5 tolerances) are straight or not; centred if the centres are and the
+    left is not, justified if both edges are, right if only the right one is,
+    else left.
     """
     up, down = Window.partitionBy(*block).orderBy(order), Window.partitionBy(*block).orderBy(F.col(order).desc())
     told = lines.withColumns({"first": F.row_number().over(up) == 1, "last": F.row_number().over(down) == 1})
@@ -78,18 +94,15 @@ def alignment(lines: DataFrame, block: list[str], order: str = "line_no") -> Dat
         return F.max(c) - F.min(c)
 
     agg = told.groupBy(*block).agg(
-        F.count(F.lit(1)).alias("n"), F.max("tol").alias("tol"), F.max(F.col("x0") - F.col("c0")).alias("l"), F.max(F.col("c1") - F.col("x1")).alias("r"),
-        spread(F.when(~F.col("first"), F.col("x0"))).alias("lefts"), spread(F.when(~F.col("last"), F.col("x1"))).alias("rights"), spread(F.col("x0")).alias("all_lefts"), spread(F.col("x1")).alias("all_rights"), spread(F.col("x0") + F.col("x1")).alias("centres"),
+        F.count(F.lit(1)).alias("n"), F.max("px").alias("px"), F.greatest(F.max(F.col("c1") - F.col("c0")), F.lit(1)).alias("wide"),
+        F.max(F.col("x0") - F.col("c0")).alias("l"), F.max(F.col("c1") - F.col("x1")).alias("r"),
+        spread(F.when(~F.col("first"), F.col("x0"))).alias("lefts"), spread(F.when(~F.col("last"), F.col("x1"))).alias("rights"), spread(F.col("x0") + F.col("x1")).alias("centres"),
     )
-    tol = F.col("tol")
-    one = F.when((F.abs(F.col("l") - F.col("r")) <= 2 * tol) & (F.col("l") > 2 * tol), "center").when((F.col("r") <= tol) & (F.col("l") > 4 * tol), "right").otherwise("left")
-    more = (
-        F.when((F.col("lefts") <= tol) & (F.col("rights") <= tol) & (F.col("n") > 2), "justify")
-        .when(F.col("lefts") <= tol, "left")
-        .when(F.col("centres") <= 2 * tol, "center")
-        .when(F.col("all_rights") <= tol, "right")
-        .otherwise("left")
-    )
+    # a hundred tolerances, so that whole numbers stay whole
+    tol, wide = F.greatest(F.col("px") * 60, F.col("wide")), F.col("wide")
+    one = F.when((F.abs(F.col("l") - F.col("r")) * 100 < F.greatest(2 * tol, 4 * wide)) & (F.col("l") * 100 > 8 * wide), "center").when((F.col("r") * 100 < 2 * tol) & (F.col("l") * 100 > 30 * wide), "right").otherwise("left")
+    left, right, middle = F.col("lefts") * 100 < tol, F.col("rights") * 100 < tol, F.col("centres") * 100 < 3 * tol
+    more = F.when(middle & ~left, "center").when(left & right, "justify").when(right, "right").otherwise("left")
     return agg.select(*block, F.when(F.col("n") == 1, one).otherwise(more).alias("align"))
 
 

@@ -45,7 +45,7 @@ def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFram
     )
     bounds = L.column_bounds(blocked)
     sized = L.font_size(blocked.withColumns({"glyphs": F.char_length("text"), "width": (F.col("x1") - F.col("x0")).cast("double"), "ems": F.char_length("text") * 0.5}), block)
-    aligned = L.alignment(blocked.join(bounds, PAGE).withColumn("tol", F.col("x_size")), block)
+    aligned = L.alignment(blocked.join(bounds, PAGE).withColumn("px", F.col("x_size")), block)
     full = told.join(sized, block).join(aligned, block)
     full = full.withColumn("block", F.row_number().over(Window.partitionBy(PAGE).orderBy("seg_no", "block_no")).cast("long") - 1)
     full = materialize(L.block_order(full), "blocks")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import geometry as G
+from leafgrid.functions import text as T
 from leafgrid.operators import boxes as B
 from leafgrid.operators import lines as L
 from leafgrid.operators import words as W
@@ -92,13 +93,13 @@ def keep_words(spark, d):
 
 @query(fx.sql(f"""
 SELECT doc_id, line_no, word_no FROM (SELECT *, median(y1 - y0) OVER (PARTITION BY doc_id, line_no) AS mid FROM
-  (SELECT * REPLACE (CASE WHEN (doc_id + word_no) % 5 = 0 THEN y0 - 6 ELSE y0 END AS y0) FROM words))
-WHERE regexp_matches(word, '\\p{{Nd}}') AND length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) <= 1 AND NOT regexp_matches(word, '[,;.:)]$')
-  AND conf < 90 AND (y1 - y0) * 100 >= mid * 112""", "words"))
+  (SELECT * REPLACE (CASE WHEN (doc_id + word_no) % 5 = 0 THEN y0 - 6 ELSE y0 END AS y0, CASE WHEN word_no % 6 = 1 THEN word || '漢' ELSE word END AS word) FROM words))
+WHERE (y1 - y0) * 100 >= mid * 112 AND (
+  (regexp_matches(word, '\\p{{Nd}}') AND length(regexp_replace(word, '[^\\p{{L}}]', '', 'g')) <= 1 AND NOT regexp_matches(word, '[,;.:)]$') AND conf < 90)
+  OR (NOT regexp_full_match(word, '(?i)[a-zđ{T.MARKED}{T.MARKED.upper()}\\p{{Nd}}{W.PLAUSIBLE.replace(chr(39), chr(39) * 2)}]*') AND conf < 75))""", "words"))
 def handwriting(spark, d):
-    w = fx.words(spark, d).withColumn("y0", F.when((F.col("doc_id") + F.col("word_no")) % 5 == 0, F.col("y0") - 6).otherwise(F.col("y0")))
-    number = F.col("word").rlike(r"\p{Nd}") & (F.char_length(F.regexp_replace("word", r"[^\p{L}]", "")) <= 1) & ~F.col("word").rlike(r"[,;.:)]$")
-    return W.handwritten(w).where(number & (F.col("conf") < 90)).select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"))
+    w = fx.words(spark, d).withColumns({"y0": F.when((F.col("doc_id") + F.col("word_no")) % 5 == 0, F.col("y0") - 6).otherwise(F.col("y0")), "word": F.when(F.col("word_no") % 6 == 1, F.concat("word", F.lit("漢"))).otherwise(F.col("word"))})
+    return W.handwritten(w).select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"))
 
 
 @query(fx.sql("""
@@ -167,7 +168,7 @@ def photo_semijoin(spark, d):
 
 @query(fx.sql(f"""
 SELECT doc_id, seg FROM figures a WHERE NOT EXISTS (SELECT 1 FROM figures b WHERE b.doc_id = a.doc_id
-  AND (b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) AND {_OVER} * 5 > {_AREA} * 1)""", "figures"))
+  AND (b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) AND {_OVER} * 5 > {_AREA} * 4)""", "figures"))
 def nms_boxes(spark, d):
     return B.outermost(fx.figures(spark, d)).select("doc_id", "seg")
 
@@ -263,15 +264,19 @@ def bold_majority(spark, d):
 
 @query(fx.sql("""
 SELECT doc_id, line_no, word_no FROM (
-  SELECT *, CASE WHEN n >= 3 AND spread < 0.25 * mid THEN coalesce(mid > lim * ref + 1e-6, false) WHEN share * 4 >= n * 3 THEN true
+  SELECT *, CASE WHEN long = 0 THEN ratio > 1.6 * ref + 1e-6 WHEN n >= 3 AND spread < 0.25 * mid THEN mid > 1.25 * ref + 1e-6 WHEN heavy * 4 >= long * 3 THEN true
     ELSE raw AND (NOT (ratio < 1.3 * ref - 1e-6) OR coalesce(lag(raw) OVER w, false) OR coalesce(lead(raw) OVER w, false)) END AS b
-  FROM (SELECT *, sum(raw::INT) OVER (PARTITION BY doc_id, line_no) AS share FROM (SELECT *, coalesce(ratio > lim * ref + 1e-6, false) AS raw FROM (
-    SELECT *, CASE WHEN longest >= 2 THEN 1.25 ELSE 1.6 END AS lim FROM s))) WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY word_no)) WHERE b""", "words", more="""
-r AS (SELECT doc_id, quantile_cont(ratio, 0.3) AS ref FROM words WHERE length(word) >= 3 GROUP BY 1 HAVING count(*) >= 5),
-s AS (SELECT w.*, r.ref, count(*) OVER l AS n, max(length(word)) OVER l AS longest, median(ratio) OVER l AS mid, max(ratio) OVER l - min(ratio) OVER l AS spread
-      FROM words w LEFT JOIN r USING (doc_id) WINDOW l AS (PARTITION BY w.doc_id, line_no))"""))
+  FROM (SELECT *, count(*) FILTER (WHERE length(word) >= 2) OVER l AS long, count(*) FILTER (WHERE length(word) >= 2 AND raw) OVER l AS heavy,
+          count(*) FILTER (WHERE length(word) >= 2 AND ratio > 0) OVER l AS n, median(ratio) FILTER (WHERE length(word) >= 2 AND ratio > 0) OVER l AS mid,
+          max(ratio) FILTER (WHERE length(word) >= 2 AND ratio > 0) OVER l - min(ratio) FILTER (WHERE length(word) >= 2 AND ratio > 0) OVER l AS spread
+        FROM (SELECT w.* REPLACE (CASE WHEN (w.doc_id + word_no) % 9 = 0 THEN 0 ELSE ratio END AS ratio), r.ref,
+                CASE WHEN (w.doc_id + word_no) % 9 = 0 THEN 0 ELSE ratio END > 1.25 * r.ref + 1e-6 AS raw FROM words w JOIN r USING (doc_id))
+        WINDOW l AS (PARTITION BY doc_id, line_no)) WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY word_no)) WHERE b""", "words", more="""
+r AS (SELECT doc_id, quantile_cont(ratio, 0.3) AS ref FROM words WHERE length(word) >= 3 AND (doc_id + word_no) % 9 <> 0 GROUP BY 1 HAVING count(*) >= 5)"""))
 def bold_smoothing(spark, d):
-    return L.mark_bold(fx.words(spark, d).drop("bold")).where("bold").select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"))
+    # every ninth word has no stroke that could be measured
+    some = fx.words(spark, d).drop("bold").withColumn("ratio", F.when((F.col("doc_id") + F.col("word_no")) % 9 == 0, 0).otherwise(F.col("ratio")))
+    return L.mark_bold(some).where("bold").select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"))
 
 
 @query(fx.sql("SELECT doc_id, line_no, median(conf)::DOUBLE AS conf FROM words GROUP BY 1, 2", "words"))
@@ -325,15 +330,18 @@ def outline_promotion(spark, d):
 
 
 @query(fx.sql("""
-SELECT doc_id, grp, CASE WHEN n = 1 THEN CASE WHEN abs(l - r) <= 60 AND l > 60 THEN 'center' WHEN r <= 30 AND l > 120 THEN 'right' ELSE 'left' END
-  WHEN lefts <= 30 AND rights <= 30 AND n > 2 THEN 'justify' WHEN lefts <= 30 THEN 'left' WHEN centres <= 60 THEN 'center' WHEN rights_all <= 30 THEN 'right' ELSE 'left' END AS align
-FROM (SELECT doc_id, grp, count(*) AS n, max(x0 - 100) AS l, max(4000 - x1) AS r, max(x0) FILTER (WHERE NOT f) - min(x0) FILTER (WHERE NOT f) AS lefts,
-        max(x1) FILTER (WHERE NOT z) - min(x1) FILTER (WHERE NOT z) AS rights, max(x0 + x1) - min(x0 + x1) AS centres, max(x1) - min(x1) AS rights_all
+SELECT doc_id, grp, CASE WHEN n = 1 THEN CASE WHEN abs(l - r) * 100 < greatest(2 * tol, 4 * 3900) AND l * 100 > 8 * 3900 THEN 'center' WHEN r * 100 < 2 * tol AND l * 100 > 30 * 3900 THEN 'right' ELSE 'left' END
+  WHEN centres * 100 < 3 * tol AND NOT lefts * 100 < tol THEN 'center' WHEN lefts * 100 < tol AND rights * 100 < tol THEN 'justify' WHEN rights * 100 < tol THEN 'right' ELSE 'left' END AS align
+FROM (SELECT doc_id, grp, count(*) AS n, greatest(max(x_size) * 60, 3900) AS tol, max(x0 - 100) AS l, max(4000 - x1) AS r, max(x0) FILTER (WHERE NOT f) - min(x0) FILTER (WHERE NOT f) AS lefts,
+        max(x1) FILTER (WHERE NOT z) - min(x1) FILTER (WHERE NOT z) AS rights, max(x0 + x1) - min(x0 + x1) AS centres
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY line_no) = 1 AS f, row_number() OVER (PARTITION BY doc_id, grp ORDER BY line_no DESC) = 1 AS z FROM q) GROUP BY 1, 2)""", "lines", more="""
-q AS (SELECT doc_id, line_no, line_no // 4 AS grp, x0 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (line_no % 5) * 90 END AS x0, CASE WHEN doc_id % 2 = 0 THEN 3990 ELSE x1 END AS x1 FROM lines)"""))
+q AS (SELECT doc_id, line_no, line_no // 4 AS grp, x_size, x0 + CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 4100 - x0 - x1 - (4100 - x0 - x1) // 2 ELSE (line_no % 5) * 90 END AS x0,
+        CASE WHEN doc_id % 2 = 0 THEN 3990 WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN x1 + (4100 - x0 - x1) // 2 ELSE x1 END AS x1 FROM lines)"""))
 def alignment(spark, d):
-    d_, n = F.col("doc_id"), F.col("line_no")
-    told = fx.lines(spark, d).select("doc_id", "line_no", F.floor(n / 4).alias("grp"), (F.col("x0") + F.when(d_ % 3 == 0, 0).otherwise((n % 5) * 90)).alias("x0"), F.when(d_ % 2 == 0, 3990).otherwise(F.col("x1")).alias("x1"), F.lit(100).alias("c0"), F.lit(4000).alias("c1"), F.lit(30).alias("tol"))
+    d_, n, room = F.col("doc_id"), F.col("line_no"), 4100 - F.col("x0") - F.col("x1")
+    left = F.when(d_ % 3 == 0, 0).when(d_ % 5 == 0, room - F.floor(room / 2)).otherwise((n % 5) * 90)
+    right = F.when(d_ % 2 == 0, 3990).when((d_ % 5 == 0) & (d_ % 3 != 0), F.col("x1") + F.floor(room / 2)).otherwise(F.col("x1"))
+    told = fx.lines(spark, d).select("doc_id", "line_no", F.floor(n / 4).alias("grp"), (F.col("x0") + left).alias("x0"), right.alias("x1"), F.lit(100).alias("c0"), F.lit(4000).alias("c1"), F.col("x_size").alias("px"))
     return L.alignment(told, ["doc_id", "grp"])
 
 

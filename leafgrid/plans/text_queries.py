@@ -38,6 +38,14 @@ def _phrases(spark, d) -> DataFrame:
     return pairs.groupBy("phrase").agg(F.bool_or(F.col("item_id") % 2 == 0).alias("domain"))
 
 
+def _triples(spark, d) -> DataFrame:
+    """(phrase, domain) of three words of the benchmark; phrases of every third item are the domain's."""
+    words = fx.read(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\s+")).alias("n", "w")).withColumn("w", _folded(F.col("w"))).where("w <> ''")
+    o = Window.partitionBy("item_id").orderBy("n")
+    three = words.withColumn("phrase", F.concat("w", F.lit(" "), F.lead("w").over(o), F.lit(" "), F.lead("w", 2).over(o))).where("phrase is not null")
+    return three.groupBy("phrase").agg(F.bool_or(F.col("item_id") % 3 == 0).alias("domain"))
+
+
 def _forms(spark, d) -> DataFrame:
     return X.forms(_phrases(spark, d))
 
@@ -100,9 +108,18 @@ eh AS (SELECT doc_id, line_no, word_no, max(len(string_split(p.phrase, ' '))) AS
 ed AS (SELECT t.*, coalesce(h.size, 0) AS size, coalesce(h.domain, false) AS domain FROM tok t LEFT JOIN eh h USING (doc_id, line_no, word_no))"""
 
 
-@query(fx.sql("SELECT doc_id, line_no, word_no, size, domain FROM ed", "words", more=_TOK + "," + _LEX + "," + _EVID))
+@query(fx.sql("""
+SELECT t.doc_id, t.line_no, t.word_no, coalesce(h.size, 0) AS size, coalesce(h.domain, false) AS domain FROM tk t LEFT JOIN (
+  SELECT doc_id, line_no, i, max(size) AS size, bool_or(domain) AS domain FROM (
+    SELECT doc_id, line_no, unnest(range(n, n + p.size)) AS i, p.size, p.domain FROM (
+      SELECT doc_id, line_no, n, unnest([b, c]) AS phrase FROM gr) g JOIN known p USING (phrase)) GROUP BY ALL) h
+  ON h.doc_id = t.doc_id AND h.line_no = t.line_no AND h.i = t.n""", "words", more=_TOK + "," + _LEX + """,
+tk AS MATERIALIZED (SELECT doc_id, line_no, word_no, token, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS n FROM tok),
+gr AS MATERIALIZED (SELECT doc_id, line_no, n, token || ' ' || lead(token) OVER w AS b, token || ' ' || lead(token) OVER w || ' ' || lead(token, 2) OVER w AS c FROM tk WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY n)),
+m3 AS (SELECT w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS phrase, item_id FROM m1 WHERE w <> '' WINDOW o AS (PARTITION BY item_id ORDER BY n)),
+known AS MATERIALIZED (SELECT phrase, 2 AS size, domain FROM phrases UNION ALL SELECT phrase, 3, bool_or(item_id % 3 = 0) FROM m3 WHERE phrase IS NOT NULL GROUP BY 1)"""))
 def ngram_evidence(spark, d):
-    told = X.evidence(_tokens(spark, d), _phrases(spark, d), ["doc_id", "line_no"])
+    told = X.evidence(_tokens(spark, d), _phrases(spark, d).union(_triples(spark, d)), ["doc_id", "line_no"])
     return told.select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"), "size", "domain")
 
 
@@ -127,8 +144,8 @@ def plausible_variants(spark, d):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT upper(w) AS code FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 9),
-k AS (SELECT DISTINCT upper(w) AS code FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 4 AND 9),
+WITH c AS (SELECT DISTINCT upper(w) AS code FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) WHERE length(w) >= 4),
+k AS (SELECT DISTINCT upper(w) AS code FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 4),
 p AS (SELECT c.code, k.code AS fixed FROM c JOIN k ON abs(length(c.code) - length(k.code)) <= 1 AND levenshtein(c.code, k.code) = 1 WHERE c.code NOT IN (SELECT code FROM k))
 SELECT code, min(fixed) AS fixed FROM p GROUP BY code HAVING count(*) = 1""")
 def edit1_matches(spark, d):
@@ -230,8 +247,8 @@ def missing_words(spark, d):
 
 @query(fx.sql("""
 SELECT item_id, levenshtein(t, g)::BIGINT AS edits, length(t) AS size FROM (
-  SELECT item_id, left(regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g'), 200) AS t FROM tw GROUP BY 1) JOIN (
-  SELECT item_id, left(regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g'), 200) AS g FROM gw GROUP BY 1) USING (item_id)""", more=_GOT))
+  SELECT item_id, regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g') AS t FROM tw GROUP BY 1) JOIN (
+  SELECT item_id, regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g') AS g FROM gw GROUP BY 1) USING (item_id)""", more=_GOT))
 def cer(spark, d):
     def plain(df: DataFrame, name: str) -> DataFrame:
         return df.select("item_id", F.regexp_replace(F.array_join(T.tokens(F.col("text")), " "), r"[^\x20-\x7E]", "?").alias(name))

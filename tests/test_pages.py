@@ -144,10 +144,16 @@ def test_column_assignment_widens_columns(spark):
 
 
 def test_merge_and_insert_folds(spark):
-    shape = "doc_id long, line_no long, word_no long, word string, x0 long, y0 long, x1 long, y1 long, baseline double, x_size double, fresh boolean"
-    rows = [(1, 0, 0, "a", 0, 0, 20, 20, 20.0, 20.0, False), (1, 0, 1, "c", 100, 0, 120, 20, 20.0, 20.0, False), (1, -1, 0, "b", 40, 0, 60, 20, 22.0, 20.0, True), (1, -1, 1, "c", 102, 0, 130, 20, 20.0, 20.0, True), (1, -1, 2, "z", 5, 0, 19, 20, 20.0, 20.0, True), (1, -1, 3, "far", 0, 500, 20, 520, 520.0, 20.0, True)]
-    got = {r["word"]: (r["line_no"], r["x1"]) for r in folds.merged_words(spark.createDataFrame(rows, shape)).collect()}
-    assert got == {"a": (0, 20), "c": (0, 130), "b": (0, 60), "far": (-1, 20)}
+    shape = "doc_id long, line_no long, word_no long, word string, conf long, x0 long, y0 long, x1 long, y1 long, baseline double, x_size double, fresh boolean"
+    old = [(1, 0, 0, "a", 90, 0, 0, 20, 20, 20.0, 20.0, False), (1, 0, 1, "c", 90, 100, 0, 120, 20, 20.0, 20.0, False), (1, 1, 0, "b", 80, 0, 60, 20, 80, 80.0, 20.0, False)]
+    run = [(1, 0, 0, "b", 90, 40, 0, 60, 20, 22.0, 20.0, True), (1, 0, 1, "c", 70, 102, 0, 130, 20, 22.0, 20.0, True), (1, 0, 2, "z", 90, 5, 0, 19, 20, 22.0, 20.0, True)]
+    more = [(1, 1, 0, "far", 90, 0, 500, 20, 520, 520.0, 20.0, True), (1, 2, 0, "ăng", 60, 22, 60, 70, 80, 80.0, 20.0, True), (1, 3, 0, "wide", 60, 321, 0, 340, 20, 24.0, 20.0, True), (1, 4, 0, "near", 60, 210, 0, 240, 20, 23.0, 20.0, True)]
+    df = spark.createDataFrame(old + run + more, shape)
+    got = {r["word"]: (r["line_no"], r["x0"], r["x1"], r["conf"]) for r in folds.merged_words(df, syllables=["băng"]).collect()}
+    # "near" is the most of four sizes from the line, "wide" a pixel more from "near"
+    assert got == {"a": (0, 0, 20, 90), "c": (0, 100, 130, 90), "b": (0, 40, 60, 90), "far": (-1, 0, 20, 90), "băng": (1, 0, 70, 60), "near": (0, 210, 240, 60), "wide": (-1, 321, 340, 60)}
+    twice = pd.DataFrame([("x", 50, 0, 0, 10, 9, 0), ("x", 70, 14, 1, 20, 8, 1), ("x", 90, 60, 1, 70, 8, 2)], columns=["word", "conf", "x0", "y0", "x1", "y1", "word_no"])
+    assert folds.rejoin(twice, 20, frozenset())[["conf", "x0", "y0", "x1", "y1"]].to_numpy().tolist() == [[70, 0, 0, 20, 9], [90, 60, 1, 70, 8]]
     blocks = [(1, 0, 0, None), (1, 1, 100, None), (1, None, 50, 0.0), (1, None, 40, 1.0), (1, None, 500, 2.0)]
     out = folds.inserted(spark.createDataFrame(blocks, "doc_id long, block long, y0 long, fresh double")).collect()
     assert [r["y0"] for r in sorted(out, key=lambda r: r["block"])] == [0, 40, 50, 100, 500]
