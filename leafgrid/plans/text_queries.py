@@ -248,7 +248,7 @@ def missing_words(spark, d):
 @query(fx.sql("""
 SELECT item_id, levenshtein(t, g)::BIGINT AS edits, length(t) AS size FROM (
   SELECT item_id, regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g') AS t FROM tw GROUP BY 1) JOIN (
-  SELECT item_id, regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g') AS g FROM gw GROUP BY 1) USING (item_id)""", more=_GOT))
+  SELECT item_id, regexp_replace(string_agg(w, ' ' ORDER BY n), '[^\\x20-\\x7E]', '?', 'g') AS g FROM gw WHERE w <> '' GROUP BY 1) USING (item_id)""", more=_GOT))
 def cer(spark, d):
     def plain(df: DataFrame, name: str) -> DataFrame:
         return df.select("item_id", F.regexp_replace(F.array_join(T.tokens(F.col("text")), " "), r"[^\x20-\x7E]", "?").alias(name))
