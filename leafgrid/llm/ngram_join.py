@@ -245,39 +245,35 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = common.materialize(signed.where("n > 0").groupBy("node", "high", "grp", "n").agg(F.min("id").alias("id")), "classes")
     groups = common.materialize(classes.groupBy("grp", "n").agg(F.min(F.struct("node", "id")).alias("first"), F.count(F.lit(1)).alias("members")).select("grp", "n", "first.node", "first.id", "members"), "groups")
     shown = docs.sparkSession.sparkContext.broadcast(_bitmap(groups))
-    posting = signed.where("n > 0").select("id", "n", "prefix", "parts")
-    if groups.count() * 8 > BITS_MOST:  # the largest bitmap would let many others through
-        posting = posting.join(groups.select("id", "n").distinct(), ["id", "n"], "left_semi")
+    # one row for each group posts its prefix: the bitmap spares most others the way, the join settles the rest
+    heads = groups.select("id", "n", "grp", F.col("node").alias("head"))
+    some = signed.where("n > 0").select("id", "n", "grp", "prefix", "parts").mapInArrow(lambda it: (_among(b, shown.value) for b in it), "id long, n int, grp long, prefix binary, parts binary")
+    posting = some.dropDuplicates(["id", "n", "grp"]).join(heads, ["id", "n", "grp"]).select("head", "n", "prefix", "parts")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = _among(b, shown.value)
             for i in range(0, b.num_rows, 512):
                 piece = b.slice(i, 512)
                 prefix = [np.frombuffer(x.as_py(), np.uint64) for x in piece.column("prefix")]
                 size = np.array([len(x) for x in prefix], dtype=np.int64)
-                ids = np.repeat(piece.column("id").to_numpy(), size)
+                head = np.repeat(piece.column("head").to_numpy(), size)
                 n = np.repeat(piece.column("n").to_numpy(), size)
                 p = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
                 parts = np.concatenate([np.ones(k, np.int32) if x is None else np.frombuffer(x, np.int32) for k, x in zip(size, piece.column("parts").to_pylist(), strict=True)])
-                part = np.where(parts > 1, 1 + (kernels.mix(ids.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "id": pa.array(ids), "n": pa.array(n), "p": pa.array(p)})
+                part = np.where(parts > 1, 1 + (kernels.mix(head.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "head": pa.array(head), "n": pa.array(n), "p": pa.array(p)})
 
-    posts = posting.mapInArrow(post, "token long, part int, id long, n int, p int")
+    posts = posting.mapInArrow(post, "token long, part int, head long, n int, p int")
     # lists with two members or more, each with its first member; parts of hot lists count from 1 and may have one
     over = Window.partitionBy("token", "part")
-    starred = posts.withColumns({"c": F.min(F.struct("id", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
-    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "id", "n", "p", "c"), "lists")
+    starred = posts.withColumns({"c": F.min(F.struct("head", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
+    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "head", "n", "p", "c"), "lists")
     # the first members of a hot list's parts meet at the first of them
-    split = lists.where("part > 0 and id = c.id").select("token", "c")
+    split = lists.where("part > 0 and head = c.head").select("token", "c")
     tops = split.groupBy("token").agg(F.min("c").alias("t"))
-    stars = lists.select(F.struct("id", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
+    stars = lists.select(F.struct("head", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
     fits = f"100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n) and least(m.n - m.p, c.n - c.p) * {100 + percent} >= {percent} * (m.n + c.n)"
-    stars = stars.where("m.id <> c.id").where(fits).select("m.id", "m.n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")).distinct()
-    # ids to the first classes of the groups that they post for; ids that the bitmap let through wrongly end here
-    heads = groups.select("id", "n", "grp", F.col("node").alias("head"))
-    stars = stars.join(heads.select("id", "n", F.col("head").alias("x")), ["id", "n"]).join(heads.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("head").alias("y")), ["cid", "cn"])
-    stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = stars.where("m.head <> c.head").where(fits).select(F.least("m.head", "c.head").alias("a"), F.greatest("m.head", "c.head").alias("b"))
     # members of a group: their prefixes agree, so the star's centre is the group's first
     several = groups.where("members > 1").select("grp", "n", F.col("node").alias("head"))
     within = classes.join(several, ["grp", "n"]).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
@@ -288,8 +284,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # lists that still hold several components, group by group expanded to their members
     members = common.materialize(classes.join(labels, "node", "left").select("grp", "n", "node", F.coalesce("label", "node").alias("label")), "members")
     own = members.join(several.select("grp", "n"), ["grp", "n"]).selectExpr("grp as token", "0 as part", "node", "label", "n", "0 as p")
-    expand = heads.select("id", "grp", "n").join(members, ["grp", "n"]).select("id", "n", "node", "label")
-    rows = common.materialize(lists.select("token", "part", "id", "n", "p").join(expand, ["id", "n"]).select("token", "part", "node", "label", "n", "p").union(own), "rows")
+    expand = members.join(heads.select("grp", "n", "head"), ["grp", "n"]).select("head", "node", "label")
+    rows = common.materialize(lists.select("token", "part", "head", "n", "p").join(expand, "head").select("token", "part", "node", "label", "n", "p").union(own), "rows")
     mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top")).where("lo <> hi").select("token", "top")
     # every part meets itself and every other part of its list once
     met = rows.join(mixed, "token").selectExpr("token", "node", "label", "n", "p", "part as side", "explode(sequence(if(top > 0, 1, 0), top)) as x").selectExpr("token", "least(side, x) as part", "greatest(side, x) as other", "node", "label", "n", "p", "side")
