@@ -101,9 +101,15 @@ def alphabetic(c: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """A sort key in which runs of digits count as numbers and letters in lower case."""
+    """A sort key in which runs of digits count as numbers, however long, and letters in lower case."""
     parts = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(parts, lambda p: F.struct(p.rlike(r"^\d").alias("digits"), F.when(p.rlike(r"^\d"), p.cast("decimal(38,0)")).alias("number"), F.lower(p).alias("text")))
+
+    def entry(p: Column) -> Column:
+        # numbers without leading zeros are ordered by length, then as text
+        number = F.when(p.rlike(r"^\d"), F.regexp_replace(p, r"^0+(?=\d)", ""))
+        return F.struct(number.isNotNull().alias("digits"), F.length(number).alias("size"), number.alias("number"), F.lower(p).alias("text"))
+
+    return F.transform(parts, entry)
 
 
 def edit_within_one(a: Column, b: Column) -> Column:
@@ -115,3 +121,10 @@ def properties(title: Column) -> Column:
     """A ``;``-separated list of ``key value value`` as a map from keys to arrays of values."""
     entries = F.filter(F.transform(F.split(title, ";"), lambda e: F.filter(F.split(F.btrim(e), r"\s+"), lambda v: v != "")), lambda e: F.size(e) > 0)
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e[0].alias("key"), F.slice(e, 2, F.greatest(F.lit(1), F.size(e))).alias("value"))))
+
+
+def orientation(report: Column) -> Column:
+    """struct(degrees, conf) of an engine's orientation report; (0, 0.0) where it says nothing."""
+    degrees = F.regexp_extract(report, r"Rotate: (\d+)", 1).try_cast("int")
+    conf = F.regexp_extract(report, r"Orientation confidence: ([\d.]+)", 1).try_cast("double")
+    return F.struct(F.coalesce(degrees, F.lit(0)).alias("degrees"), F.coalesce(conf, F.lit(0.0)).alias("conf"))

@@ -103,3 +103,18 @@ def text_shaped(b: G.Box, size: Column) -> Column:
 def uses_background(setting: Column, decorative: Column, has_raw: Column) -> Column:
     """Whether the page's image stands behind its text: asked for, or left to choose and the page is decorated."""
     return has_raw & ((setting == "on") | ((setting == "auto") & decorative))
+
+
+def outermost_lines(lines: DataFrame, page: list[str], w: str = "w", h: str = "h") -> DataFrame:
+    """(page, side, line, distance): of the nearly upright and nearly level lines (x0, y0, x1, y1, ``line``) the outermost on each side.
+
+    A line leans by less than 8 %, lies within 15 % of the page from its side and
+    no nearer than three pixels; ties go to the smaller line.
+    """
+    wide, high = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    upright = F.when(x * 2 < F.col(w), F.struct(F.lit("left").alias("side"), x.alias("d"), F.col(w).alias("of"))).otherwise(F.struct(F.lit("right").alias("side"), (F.col(w) - x).alias("d"), F.col(w).alias("of")))
+    level = F.when(y * 2 < F.col(h), F.struct(F.lit("top").alias("side"), y.alias("d"), F.col(h).alias("of"))).otherwise(F.struct(F.lit("bottom").alias("side"), (F.col(h) - y).alias("d"), F.col(h).alias("of")))
+    told = lines.withColumn("at", F.when(wide * 100 < high * 8, upright).when(high * 100 < wide * 8, level)).where("at.d >= 3 and at.d * 100 <= at.of * 15")
+    best = told.groupBy(*page, F.col("at.side").alias("side")).agg(F.min(F.struct("at.d", "line")).alias("m"))
+    return best.select(*page, "side", "m.line", F.col("m.d").cast("double").alias("distance"))

@@ -178,3 +178,19 @@ def reflow(blocks: DataFrame, key: list[str], inset: float = 4.0) -> DataFrame:
         lambda a, w: F.when((F.size(a) > 0) & (F.char_length(F.try_element_at(a, F.lit(-1))) + 1 + F.char_length(w) <= limit), F.concat(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.concat(F.try_element_at(a, F.lit(-1)), F.lit(" "), w)))).otherwise(F.concat(a, F.array(w))),
     )
     return blocks.select(*key, F.posexplode(rows).alias("row_no", "text"))
+
+
+def grown(blocks: DataFrame, margin: float = 36.0) -> DataFrame:
+    """Adds ``left`` and ``wide`` (points): where an edited one-line block stands once it has grown to the width it ``need``s.
+
+    Blocks have x (points), room, need, align, page_width, and whether they may
+    grow (one line, no container).  The page's margins bound it; a centred block
+    grows both ways, a right-aligned one to the left.
+    """
+    most = F.col("page_width") - 2 * margin
+    target = F.least("need", most)
+    more = F.when(F.col("grows") & (F.col("need") > F.col("room")), target - F.col("room")).otherwise(0.0)
+    shift = F.when(F.col("align") == "center", more / 2).when(F.col("align") == "right", more).otherwise(0.0)
+    left = F.least(F.greatest(F.col("x") - shift, F.lit(margin)), F.col("page_width") - margin - target)
+    grows = F.col("grows") & (F.col("need") > F.col("room"))
+    return blocks.withColumns({"left": F.when(grows, left).otherwise(F.col("x")), "wide": F.when(grows, target).otherwise(F.greatest("room", F.lit(10.0)))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
@@ -40,3 +40,9 @@ def character_classes(docs: DataFrame, key: str, text: str = "text") -> DataFram
         key, F.regexp_count(c, F.lit(r"\p{L}")).cast("long").alias("letters"), F.regexp_count(c, F.lit(r"\p{Nd}")).cast("long").alias("digits"),
         F.regexp_count(c, F.lit(r"\p{Lu}")).cast("long").alias("capitals"), F.size(T.tokens(c)).cast("long").alias("words"),
     )
+
+
+def first_k(rows: DataFrame, key: list[str], order: list[str], k: int = 30) -> DataFrame:
+    """The first k rows of each key, for a report, with their rank."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
+from leafgrid.tables import materialize
 
 # --- fixed values -----------------------------------------------------------
 IMAGE_SUFFIXES = ["png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp", "gif", "jfif"]
@@ -20,14 +21,38 @@ def images_only(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(suffix(F.col(path)).isin(IMAGE_SUFFIXES))
 
 
-def in_natural_order(files: DataFrame, path: str = "path", ties: list[str] = ()) -> DataFrame:
-    """Adds ``place`` by natural order of the paths (runs of digits as numbers).
+def numbered(rows: DataFrame, keys: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place (from 0) of each row in the order of ``keys``, which should leave no ties.
 
-    A global ordinal needs all rows in one order; file lists are short beside the
-    pages they name.
+    Rows are range-partitioned and sorted; each partition counts from the sum of
+    the counts before it, a row for each partition.  No task sees all rows.
     """
-    w = Window.orderBy(T.natural_key(F.col(path)), path, *ties)
-    return files.withColumn("place", F.row_number().over(w).cast("long") - 1)
+    order = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    names = [f"__k{i}" for i in range(len(keys))]
+    ranged = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), *order).repartitionByRange(*names).sortWithinPartitions(*names)
+    dealt = materialize(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    begins = counts.select("__part", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
+    told = dealt.join(F.broadcast(begins), "__part")
+    return told.select("__row.*", (F.col("__begin") + F.col("__at") - F.col("__first")).alias(name))
+
+
+def in_natural_order(files: DataFrame, path: str = "path", ties: list[str] = (), first: list[str] = ()) -> DataFrame:
+    """Adds ``place`` by natural order of the paths (runs of digits as numbers), after ``first`` and before ``ties``."""
+    return numbered(files, [*map(F.col, first), T.natural_key(F.col(path)), F.col(path), *map(F.col, ties)])
+
+
+def moved(entries: DataFrame, at: int, to: int, place: str = "place") -> DataFrame:
+    """The entries with the one at place ``at`` moved to place ``to``; those between close up."""
+    p, low, high = F.col(place), min(at, to), max(at, to)
+    step = F.lit(-1 if to > at else 1)
+    return entries.withColumn(place, F.when(p == at, F.lit(to)).when(p.between(low, high), p + step).otherwise(p).cast(dict(entries.dtypes)[place]))
+
+
+def languages(files: DataFrame, path: str = "path") -> DataFrame:
+    """(lang) of the recognition models among files: the stems of ``*.traineddata``."""
+    return files.select(F.regexp_extract(path, r"([^/]+)\.traineddata$", 1).alias("lang")).where("lang <> ''").distinct()
 
 
 def stale(entries: DataFrame, status: DataFrame) -> DataFrame:

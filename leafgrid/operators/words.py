@@ -125,10 +125,16 @@ def split_boxes(words: DataFrame, parts: str = "parts") -> DataFrame:
 
 
 def placed(words: DataFrame, line: list[str] = LINE) -> DataFrame:
-    """Horizontal squeeze, in hundredths, of a word set at its own place: room up to the next word over the width it needs, within 70 and 100."""
+    """Horizontal squeeze, in hundredths, of a word set at its own place: its room over the width it needs, within 70 and 100.
+
+    The room goes up to 0.15 sizes before the next word; a line's last word has
+    its own width and a tenth, and a tenth of its size.  Without room or need
+    nothing is squeezed.
+    """
     nxt = F.lead("x0").over(Window.partitionBy(*line).orderBy("word_no"))
-    room = F.coalesce((nxt - F.col("x0")).cast("double"), (F.col("x1") - F.col("x0")) * 1.1 + F.col("x_size") * 0.1)
-    return words.withColumn("squeeze", F.least(F.lit(100.0), F.greatest(F.lit(70.0), 100 * room / F.col("need"))))
+    room = F.coalesce(nxt - F.col("x0") - F.col("x_size") * 0.15, (F.col("x1") - F.col("x0")) * 1.1 + F.col("x_size") * 0.1)
+    squeeze = F.least(F.lit(100.0), F.greatest(F.lit(70.0), 100 * room / F.col("need")))
+    return words.withColumn("squeeze", F.when((room > 0) & (F.col("need") > 0), squeeze).otherwise(100.0))
 
 
 def readable(word: Column, conf: Column, tentative: Column) -> Column:

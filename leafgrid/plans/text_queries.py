@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
+from leafgrid.operators import boxes as B
 from leafgrid.operators import lexicon as X
 from leafgrid.operators import metrics as M
 from leafgrid.operators import pages as P
 from leafgrid.plans import fixtures as fx
 from leafgrid.plans.queries import query
+from leafgrid.sources.fonts import text_widths
 
 #: Folds the accents of the driver's texts; everything else that is no ASCII letter goes.
 _FOLD = ("àâäáãåçèéêëìíîïñòóôöõùúûüÿ", "aaaaaaceeeeiiiinooooouuuuy")
@@ -322,3 +324,44 @@ def new_paths(spark, d):
 def error_capture(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.get_json_object("props", "$.k"))
     return P.captured(fx.read(spark, d, "events").withColumn("raw", raw), "raw").select("event_id", "parsed", "error")
+
+
+@query("""
+SELECT page_id, coalesce(try_cast(nullif(regexp_extract(report, 'Rotate: (\\d+)', 1), '') AS INT), 0) AS degrees, coalesce(try_cast(nullif(regexp_extract(report, 'Orientation confidence: ([\\d.]+)', 1), '') AS DOUBLE), 0.0) AS conf
+FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'Too few characters' WHEN page_id % 11 = 0 THEN NULL ELSE 'Rotate: ' || (page_id % 4 * 90)::VARCHAR || chr(10) || 'Orientation confidence: ' || (page_id % 13)::VARCHAR || '.25' END AS report FROM pages)""")
+def orientation_probe(spark, d):
+    n = F.col("page_id")
+    told = F.concat(F.lit("Rotate: "), (n % 4 * 90).cast("string"), F.lit("\nOrientation confidence: "), (n % 13).cast("string"), F.lit(".25"))
+    report = F.when(n % 7 == 0, "Too few characters").when(n % 11 == 0, F.lit(None).cast("string")).otherwise(told)
+    return fx.read(spark, d, "pages").select("page_id", T.orientation(report).alias("o")).select("page_id", "o.degrees", "o.conf")
+
+
+@query(fx.sql("""
+SELECT item_id, word, rank FROM (SELECT item_id, w AS word, row_number() OVER (PARTITION BY item_id ORDER BY w) AS rank FROM (SELECT item_id, w FROM tw EXCEPT ALL SELECT item_id, w FROM gw)) WHERE rank <= 3""", more=_GOT))
+def first_missing_words(spark, d):
+    return M.first_k(M.missing_words(*_read_text(spark, d), "item_id"), ["item_id"], ["word"], 3)
+
+
+@query(fx.sql("""
+SELECT doc_id, line_no, word_no, round(sum(coalesce(CASE WHEN u < 768 THEN (u % 40 + 30) * CASE WHEN bold THEN 11 ELSE 10 END / 1000.0 END, 0.5)), 6)::DOUBLE AS ems
+FROM (SELECT doc_id, line_no, word_no, bold, unicode(unnest(string_split(word, ''))) AS u FROM words) GROUP BY 1, 2, 3""", "words"))
+def string_widths(spark, d):
+    """Widths by a made-up font with glyphs for the first 768 code points."""
+    both = spark.createDataFrame([(i, chr(i), bold) for i in range(1, 768) for bold in (False, True)], "id long, char string, bold boolean")
+    widths = both.select("char", "bold", ((F.col("id") % 40 + 30) * F.when(F.col("bold"), 11).otherwise(10) / 1000.0).alias("em"))
+    key = ["doc_id", "line_no", "word_no"]
+    told = text_widths(fx.words(spark, d), widths, key)
+    return told.select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"), F.round("ems", 6).alias("ems"))
+
+
+@query(fx.sql("""
+SELECT doc_id, side, d AS distance, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY d, line) AS r FROM (
+  SELECT doc_id, line, CASE WHEN upright THEN CASE WHEN x * 2 < 4000 THEN 'left' ELSE 'right' END ELSE CASE WHEN y * 2 < 3000 THEN 'top' ELSE 'bottom' END END AS side,
+         CASE WHEN upright THEN CASE WHEN x * 2 < 4000 THEN x ELSE 4000 - x END ELSE CASE WHEN y * 2 < 3000 THEN y ELSE 3000 - y END END AS d, CASE WHEN upright THEN 4000 ELSE 3000 END AS ext
+  FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, abs(x1 - x0) * 100 < abs(y1 - y0) * 8 AS upright FROM q WHERE abs(x1 - x0) * 100 < abs(y1 - y0) * 8 OR abs(y1 - y0) * 100 < abs(x1 - x0) * 8))
+  WHERE d >= 3 AND d * 100 <= ext * 15) WHERE r = 1""", "boxes", more="""
+q AS (SELECT doc_id, seg AS line, x0, y0, CASE WHEN seg % 2 = 0 THEN x0 + seg % 5 ELSE x1 END AS x1, CASE WHEN seg % 2 = 0 THEN y1 + 20 ELSE y0 + seg % 3 END AS y1 FROM boxes)"""))
+def outermost_lines(spark, d):
+    s = F.col("seg")
+    lines = fx.boxes(spark, d).select("doc_id", s.alias("line"), "x0", "y0", F.when(s % 2 == 0, F.col("x0") + s % 5).otherwise(F.col("x1")).alias("x1"), F.when(s % 2 == 0, F.col("y1") + 20).otherwise(F.col("y0") + s % 3).alias("y1"), F.lit(4000).alias("w"), F.lit(3000).alias("h"))
+    return B.outermost_lines(lines, ["doc_id"])

@@ -33,3 +33,11 @@ class Settings:
                 default, value = getattr(out, f.name), given[f.name]
                 setattr(out, f.name, str(value).lower() in ("true", "1") if isinstance(default, bool) else type(default)(value))
         return out
+
+
+def page_workers(cpus: int) -> int:
+    """Pages that one machine works on at a time: half its cores, one at least and four at most.
+
+    On a cluster this is what ``spark.task.cpus`` is set from: cores over workers.
+    """
+    return max(1, min(4, cpus // 2))

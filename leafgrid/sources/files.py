@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as X
 from leafgrid.operators import pages
+from leafgrid.raster import kernels as K
+from leafgrid.raster.resample import capped
 
 
 def image_files(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
@@ -29,8 +32,7 @@ def image_files(spark: SparkSession, inputs: Sequence[str]) -> DataFrame:
     if not found:
         return spark.createDataFrame([], "place long, path string")
     every = reduce(DataFrame.union, found)
-    order = Window.orderBy("arg", X.natural_key(F.col("path")), "path")
-    return every.select((F.row_number().over(order).cast("long") - 1).alias("place"), "path")
+    return pages.in_natural_order(every, first=["arg"]).select("place", "path")
 
 
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +40,49 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").load(path).select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.mode", "image.data")
 
 
+def exif_orientation(data: bytes) -> int:
+    """How a JPEG's pixels are to be turned (1 to 8, 1: not at all), from its EXIF segment."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = "little" if tiff[:2] == b"II" else "big"
+            first = int.from_bytes(tiff[4:8], order)
+            for i in range(int.from_bytes(tiff[first : first + 2], order)):
+                entry = tiff[first + 2 + 12 * i : first + 14 + 12 * i]
+                if int.from_bytes(entry[:2], order) == 0x0112:
+                    value = int.from_bytes(entry[8:10], order)
+                    return value if 1 <= value <= 8 else 1
+        at += 2 + size
+    return 1
+
+
+def image_pages(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """(path, height, width, channels, data) as a viewer shows the images: turned as EXIF says, transparency on white, BGR.
+
+    ``longest`` caps the longest side, for thumbnails.  Turns come from a pass
+    over the files' heads and travel as a number for each path.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([exif_orientation(d) for d in b.column("head").to_pylist()], pa.int32())], names=["path", "turn"])
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                img = K.opaque(K.upright(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"]), r["turn"] or 1))
+                img = capped(img, longest)[0] if longest else img
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "height": pa.array([img.shape[0]], pa.int32()), "width": pa.array([img.shape[1]], pa.int32()), "channels": pa.array([3], pa.int32()), "data": pa.array([np.ascontiguousarray(img).tobytes()], pa.binary())})
+
+    turns = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 18).alias("head")).mapInArrow(heads, "path string, turn int").where("turn <> 1")
+    name = F.regexp_replace("path", "^file:/+", "/")
+    both = image_pixels(spark, path).withColumn("at", name).join(turns.select(name.alias("at"), "turn"), "at", "left")
+    return both.select("path", "height", "width", "channels", "data", "turn").mapInArrow(show, "path string, height int, width int, channels int, data binary")
+
+
 def phrase_lines(spark: SparkSession, path: str) -> DataFrame:
     """(phrase) of a list: comments and blank lines go, syllables are canonical and joined by single spaces."""
     lines = spark.read.text(path).where("trim(value) <> '' and value not like '#%'")
