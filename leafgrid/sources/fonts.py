@@ -105,7 +105,7 @@ def glyph_widths(spark: SparkSession, regular: Font, bold: Font | None = None) -
 
 def text_widths(words: DataFrame, widths: DataFrame, key: list[str], word: str = "word", missing: float = 0.5) -> DataFrame:
     """(key, ems) of word rows with ``bold``: the sum of their characters' widths; a character without a width has ``missing``."""
-    each = words.select(*key, "bold", F.explode(F.split(word, "")).alias("char"))
+    each = words.select(*key, "bold", F.explode(F.split(word, "")).alias("char")).where("char <> ''")
     # a font's table, tens of thousands of short rows at most
     told = each.join(F.broadcast(widths), ["char", "bold"], "left")
     sums = told.groupBy(*key).agg(F.sum(F.coalesce("em", F.lit(missing))).alias("ems"))

@@ -94,7 +94,7 @@ def document(pages: Sequence[dict], title: str = "", creator: str = "", fonts: S
             if face and fonts:
                 heavy = min(int(bool(face[0])), len(fonts) - 1)
                 codes = "".join(f"{fonts[heavy].glyphs.get(ord(c), 0):04X}" for c in text + " ")
-                color = " ".join(f"{v:.3f}" for v in face[1] or (0, 0, 0))
+                color = " ".join(f"{v:.3f}" for v in ((0, 0, 0) if face[1] is None else face[1]))
                 draw.append(f"q {color} rg {color} RG {INK_SPREAD * size:.3f} w BT 2 Tr /V{heavy} {size:.3f} Tf {place} <{codes}> Tj ET Q")
             else:
                 draw.append(f"q BT 3 Tr /F {size:.3f} Tf {place} <{(text + ' ').encode('utf-16-be').hex()}> Tj ET Q")

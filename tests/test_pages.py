@@ -164,8 +164,8 @@ def test_noise_specks_and_placement(spark):
     df = spark.createDataFrame(rows, "doc_id long, line_no long, word_no long, word string, conf long, x0 long, x1 long, x_size long")
     assert [r["word"] for r in W.drop_noise(df).where("doc_id = 1").orderBy("word_no").collect()] == ["word", "~~"]
     assert [r["doc_id"] for r in W.specks(df.where("doc_id > 1"), ["doc_id"]).collect()] == [2]
-    squeeze = [r["squeeze"] for r in W.placed(df.where("doc_id = 1").withColumn("need", F.lit(25.0))).orderBy("word_no").collect()]
-    assert squeeze[0] == 80.0 and squeeze[1] == 100.0 and squeeze[3] == 70.0
+    squeeze = [r["squeeze"] for r in W.placed(df.where("doc_id = 1").withColumn("need", F.lit(20.0))).orderBy("word_no").collect()]
+    assert squeeze[0] == 77.5 and squeeze[1] == 100.0 and squeeze[3] == 70.0
 
 
 def test_lower_weighted_median(spark):
@@ -218,11 +218,11 @@ def test_text_and_pdf_sinks(spark, tmp_path):
     assert text == "one\n\nblock\n\n\ftwo\n"
     rows = [(1, 1, 595.0, 842.0, "Tiếng", 72.0, 700.0, 12.0, 100.0, 0), (1, 2, 595.0, 842.0, "Việt", 72.0, 700.0, 12.0, 90.0, 1), (2, 1, 595.0, 842.0, "x", 1.0, 1.0, 9.0, 100.0, None)]
     df = spark.createDataFrame(rows, "doc_id long, page_no int, width double, height double, text string, x double, y double, size double, squeeze double, level int")
-    made = {r["doc_id"]: r for r in pdf.pages_of(pdf.documents(df)).collect()}
+    made = {r["doc_id"]: r for r in pdf.documents(df).collect()}
     assert made[1]["n_pages"] == 2 and made[2]["n_pages"] == 1
     raw = bytes(made[1]["pdf"])
     at = int(raw[raw.rindex(b"startxref") + 9 :].split()[0])
-    assert raw[at : at + 4] == b"xref" and raw.count(b"/Title") == 3
+    assert raw[at : at + 4] == b"xref" and raw.count(b"/Title") == 3 and made[1]["n_skipped"] == 0
     for line in raw[at:].split(b"\n")[3:-6]:
         if line.endswith(b" n "):
             assert raw[int(line[:10]) :].split(b" obj")[0].split()[0].isdigit()
