@@ -25,10 +25,18 @@ def inside(items: DataFrame, areas: DataFrame, page: str = PAGE) -> DataFrame:
     return _on(items, areas, G.center_in(G.box("a."), G.box("b.")), page, "left_semi")
 
 
-def flagged(items: DataFrame, areas: DataFrame, name: str, key: list[str], page: str = PAGE) -> DataFrame:
-    """All items, with a flag that tells whether their centre lies in an area; key: what tells items apart."""
-    hit = inside(items, areas, page).select(*key).distinct().withColumn(name, F.lit(True))
-    return items.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def flagged(items: DataFrame, areas: DataFrame, key: list[str], page: str = PAGE, **flags: str | None) -> DataFrame:
+    """All items, each flag telling whether their centre lies in an area, or in one for which the named column holds.
+
+    ``key`` (the page and what tells its items apart) groups an item's areas
+    again; both steps are partitioned by page, so items are shuffled once,
+    whatever the number of flags.
+    """
+    both = _on(items, areas, G.center_in(G.box("a."), G.box("b.")), page, "left")
+    held = F.col(f"b.{page}").isNotNull()
+    told = [F.coalesce(F.bool_or(held if c is None else held & F.col(f"b.{c}")), F.lit(False)).alias(n) for n, c in flags.items()]
+    rest = [F.first(f"a.{c}").alias(c) for c in items.columns if c not in key]
+    return both.groupBy(*[F.col(f"a.{k}").alias(k) for k in key]).agg(*rest, *told).select(*items.columns, *flags)
 
 
 def uncovered(items: DataFrame, areas: DataFrame, num: int, den: int, page: str = PAGE) -> DataFrame:

@@ -7,6 +7,8 @@ the affix tables.  Spark broadcasts them where their size allows it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,11 @@ def variants(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     return same.union(longer.select("token", "variant")).where("token <> variant").distinct()
 
 
-def evidence(tokens: DataFrame, phrases: DataFrame, line: list[str], order: str = "word_no") -> DataFrame:
-    """Adds ``size`` (of the longest two- or three-word phrase around the token, 0 for none) and ``domain`` (any of them is a domain phrase)."""
+def evidence(tokens: DataFrame, phrases: DataFrame, line: list[str], order: str = "word_no", most: int = 1 << 18) -> DataFrame:
+    """Adds ``size`` (of the longest two- or three-word phrase around the token, 0 for none) and ``domain`` (any of them is a domain phrase).
+
+    Up to ``most`` phrases are broadcast, more of them are joined.
+    """
     w = Window.partitionBy(*line).orderBy(order)
     t = F.col("token")
 
@@ -53,11 +58,20 @@ def evidence(tokens: DataFrame, phrases: DataFrame, line: list[str], order: str
         # unlike concat_ws, concat is null for a window over the line's edge
         return F.concat(*[x for i, word in enumerate(words) for x in ([F.lit(" ")] if i else []) + [word]])
 
-    spans = [(-1, 0), (0, 1), (-2, 0), (-1, 1), (0, 2)]
-    told = tokens.withColumn("windows", F.array(*[window(a, b) for a, b in spans]))
+    spans = [window(a, b) for a, b in ((-1, 0), (0, 1), (-2, 0), (-1, 1), (0, 2))]
+    known = phrases.groupBy("phrase").agg(F.bool_or("domain").alias("domain")).withColumn("words", F.size(F.split("phrase", " ")))
+    if known.count() <= most:
+        # a small dictionary is looked up five times in passing: tokens are not shuffled again
+        told = tokens.withColumns({f"__w{i}": s for i, s in enumerate(spans)})
+        for i in range(len(spans)):
+            one = F.broadcast(known.select(F.col("phrase").alias(f"__p{i}"), F.col("words").alias(f"__n{i}"), F.col("domain").alias(f"__d{i}")))
+            told = told.join(one, F.col(f"__w{i}") == F.col(f"__p{i}"), "left")
+        size = F.greatest(F.lit(0), *[F.coalesce(f"__n{i}", F.lit(0)) for i in range(len(spans))])
+        domain = reduce(Column.__or__, [F.coalesce(f"__d{i}", F.lit(False)) for i in range(len(spans))])
+        return told.select(*tokens.columns, size.cast("long").alias("size"), domain.alias("domain"))
+    told = tokens.withColumn("windows", F.array(*spans))
     key = [*line, order]
     each = told.select(*key, F.explode("windows").alias("phrase")).where("phrase is not null")
-    known = phrases.select("phrase", "domain").withColumn("words", F.size(F.split("phrase", " ")))
     best = each.join(known, "phrase").groupBy(*key).agg(F.max("words").alias("size"), F.max("domain").alias("domain"))
     return tokens.join(best, key, "left").withColumns({"size": F.coalesce("size", F.lit(0)).cast("long"), "domain": F.coalesce("domain", F.lit(False))})
 

@@ -25,8 +25,7 @@ def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFram
     key = [PAGE, "line_no", "word_no"]
     # each step reads what is before it more than once, so the plan is cut where that would multiply
     free = materialize(B.outside(words, cells), "words")
-    free = B.flagged(free, figures, "in_figure", key)
-    free = materialize(B.flagged(free, figures.where("photo"), "in_photo", key), "flagged")
+    free = materialize(B.flagged(free, figures, key, in_figure=None, in_photo="photo"), "flagged")
     written = W.handwritten(free).select(*key).distinct().withColumn("written", F.lit(True))
     free = free.join(written, key, "left").withColumns({"written": F.coalesce("written", F.lit(False)), "pen": F.lit(False)})
     clean = materialize(W.trim_leading(W.drop_noise(W.keep(free))), "clean")

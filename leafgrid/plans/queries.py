@@ -85,9 +85,8 @@ m AS (SELECT *, median(conf) OVER (PARTITION BY doc_id, line_no) AS mid, (doc_id
       EXISTS (SELECT 1 FROM figures b WHERE b.doc_id = a.doc_id AND b.photo AND {_IN}) AS in_photo FROM words a)"""))
 def keep_words(spark, d):
     key = ["doc_id", "line_no", "word_no"]
-    areas = fx.figures(spark, d)
-    told = B.flagged(fx.words(spark, d), areas, "in_figure", key)
-    told = B.flagged(told, areas.where("photo"), "in_photo", key).withColumns({"pen": (F.col("doc_id") + F.col("word_no")) % 13 == 0, "written": F.lit(False)})
+    told = B.flagged(fx.words(spark, d), fx.figures(spark, d), key, in_figure=None, in_photo="photo")
+    told = told.withColumns({"pen": (F.col("doc_id") + F.col("word_no")) % 13 == 0, "written": F.lit(False)})
     return W.keep(told).select("doc_id", F.col("line_no").cast("long"), F.col("word_no").cast("long"))
 
 

@@ -24,7 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks."""
-    path = f"{shared_dir(df.sparkSession)}/leafgrid/{name}-{uuid.uuid4().hex}"
+    """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks.
+
+    The table goes when the driver ends, as results that are not yet computed may
+    still read it until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/leafgrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)

@@ -64,3 +64,20 @@ def test_figures_go_only_if_a_larger_one_covers_four_fifths(spark):
     got = {(r["doc_id"], r["seg"]) for r in page_queries.QUERIES["nms_boxes"](spark, d).collect()}
     assert kept(1) < kept(4) == got, (len(kept(1)), len(got))
     print("figures", len(kept(1)), len(got))
+
+
+def test_evidence_is_the_same_whether_phrases_are_broadcast_or_joined(spark):
+    from leafgrid.operators import lexicon as X
+
+    words = "a b c a b d e a b c".split()
+    tokens = spark.createDataFrame([(1, i // 6, i, w) for i, w in enumerate(words)], "doc_id long, line_no long, word_no long, token string")
+    phrases = spark.createDataFrame([("a b", False), ("a b c", True), ("d e", False), ("a b", True)], "phrase string, domain boolean")
+    lines = {n: [w for i, w in enumerate(words) if i // 6 == n] for n in (0, 1)}
+    want = {}
+    for n, line in lines.items():
+        for i in range(len(line)):
+            found = [(k, p in ("a b", "a b c")) for k in (2, 3) for at in range(i - k + 1, i + 1) if at >= 0 and (p := " ".join(line[at : at + k])) in ("a b", "a b c", "d e") and at + k <= len(line)]
+            want[n, n * 6 + i] = (max([f[0] for f in found], default=0), any(f[1] for f in found))
+    for most in (100, 0):
+        got = {(r["line_no"], r["word_no"]): (r["size"], r["domain"]) for r in X.evidence(tokens, phrases, ["doc_id", "line_no"], most=most).collect()}
+        assert got == want
