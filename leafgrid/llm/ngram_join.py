@@ -248,7 +248,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one row for each group posts its prefix: the bitmap spares most others the way, the join settles the rest
     heads = groups.select("id", "n", "grp", F.col("node").alias("head"))
     some = signed.where("n > 0").select("id", "n", "grp", "prefix", "parts").mapInArrow(lambda it: (_among(b, shown.value) for b in it), "id long, n int, grp long, prefix binary, parts binary")
-    posting = some.dropDuplicates(["id", "n", "grp"]).join(heads, ["id", "n", "grp"]).select("head", "n", "prefix", "parts")
+    posting = some.dropDuplicates(["id", "n", "grp"]).join(heads, ["id", "n", "grp"]).select("id", "head", "n", "prefix", "parts")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,22 +256,23 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 piece = b.slice(i, 512)
                 prefix = [np.frombuffer(x.as_py(), np.uint64) for x in piece.column("prefix")]
                 size = np.array([len(x) for x in prefix], dtype=np.int64)
-                head = np.repeat(piece.column("head").to_numpy(), size)
+                head, ids = (np.repeat(piece.column(c).to_numpy(), size) for c in ("head", "id"))
                 n = np.repeat(piece.column("n").to_numpy(), size)
                 p = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
                 parts = np.concatenate([np.ones(k, np.int32) if x is None else np.frombuffer(x, np.int32) for k, x in zip(size, piece.column("parts").to_pylist(), strict=True)])
                 part = np.where(parts > 1, 1 + (kernels.mix(head.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "head": pa.array(head), "n": pa.array(n), "p": pa.array(p)})
+                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "id": pa.array(ids), "head": pa.array(head), "n": pa.array(n), "p": pa.array(p)})
 
-    posts = posting.mapInArrow(post, "token long, part int, head long, n int, p int")
-    # lists with two members or more, each with its first member; parts of hot lists count from 1 and may have one
+    posts = posting.mapInArrow(post, "token long, part int, id long, head long, n int, p int")
+    # lists with two members or more, each with its member of the smallest id, as a rule the text that others were made
+    # from; parts of hot lists count from 1 and may have one
     over = Window.partitionBy("token", "part")
-    starred = posts.withColumns({"c": F.min(F.struct("head", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
-    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "head", "n", "p", "c"), "lists")
+    starred = posts.withColumns({"c": F.min(F.struct("id", "head", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
+    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "id", "head", "n", "p", "c"), "lists")
     # the first members of a hot list's parts meet at the first of them
     split = lists.where("part > 0 and head = c.head").select("token", "c")
     tops = split.groupBy("token").agg(F.min("c").alias("t"))
-    stars = lists.select(F.struct("head", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
+    stars = lists.select(F.struct("id", "head", "n", "p").alias("m"), "c").union(split.join(tops, "token").select(F.col("c").alias("m"), F.col("t").alias("c")))
     fits = f"100 * least(m.n, c.n) >= {percent} * greatest(m.n, c.n) and least(m.n - m.p, c.n - c.p) * {100 + percent} >= {percent} * (m.n + c.n)"
     stars = stars.where("m.head <> c.head").where(fits).select(F.least("m.head", "c.head").alias("a"), F.greatest("m.head", "c.head").alias("b"))
     # members of a group: their prefixes agree, so the star's centre is the group's first
