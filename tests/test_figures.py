@@ -235,3 +235,19 @@ def test_orientation_reports(spark):
 def test_working_copies():
     big = np.zeros((50, 200), np.uint8)
     assert R.capped(big, 100)[0].shape == (25, 100) and R.capped(big, 400)[0] is big
+
+
+def test_an_engine_of_its_own_process(spark):
+    import sys
+
+    from leafgrid.sources.engine import ProcessEngine, png
+
+    echo = "import os, sys; d = sys.stdin.buffer.read(); print(d[:4] == b'\\x89PNG', len(d) > 50, os.environ['OMP_THREAD_LIMIT'])"
+    engine = ProcessEngine([sys.executable, "-c", echo])
+    img = np.zeros((4, 6, 3), np.uint8)
+    assert engine(img.tobytes(), 4, 6).split() == ["True", "True", "1"] and png(img[..., 0])[25] == 0 and png(img)[25] == 2
+    with pytest.raises(RuntimeError, match="no page"):
+        ProcessEngine([sys.executable, "-c", "import sys; sys.exit('no page')"]).report(img)
+    df = spark.createDataFrame([("a", bytearray(img.tobytes()), 4, 6)], "path string, data binary, height int, width int")
+    late = files.recognised(df, ProcessEngine([sys.executable, "-c", "import time; time.sleep(9)"], 0.3)).first()
+    assert late["hocr"] is None and "TimeoutExpired" in late["error"]

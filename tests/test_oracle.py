@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from leafgrid.plans import queries as page_queries
-from leafgrid.plans import part_queries, text_queries  # noqa: F401
+from leafgrid.plans import part_queries, pixel_queries, text_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
