@@ -203,41 +203,69 @@ def _index(t: pa.Table) -> pa.Table:
     return pa.table({"dim": t.column("dim").slice(0, 1), "shard": t.column("shard").slice(0, 1), "start": pa.array([start], pa.int32())} | {k: pa.array([a.tobytes()], pa.binary()) for k, a in cols.items()})
 
 
-def _search(row: dict, k: int) -> pa.RecordBatch:
-    """The k nearest of one shard for each query of a block."""
-    dim = row["dim"]
-    ids, ends = (np.frombuffer(row[c], np.int64) for c in ("ids", "ends"))
-    points = np.frombuffer(row["points"], np.float64).reshape(-1, dim)
-    edges = np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE)
-    qids = np.frombuffer(row["qids"], np.int64)
-    queries = np.frombuffer(row["queries"], np.float64).reshape(-1, dim)
-    frame = _frame(points)
-    x = _scaled(points, *frame)
-    found = beam(x, np.einsum("nd,nd->n", x, x), edges, row["start"], _scaled(queries, *frame), max(BEAM, 4 * k))
-    score = np.where(found < 0, np.inf, _distances(points, found, queries))
-    # the query's own point may be among them
-    short = (found >= 0).sum(axis=1) < min(k + 1, len(points))
-    if short.any():
-        most = max(found.shape[1], min(len(points), k + 1))
-        found = np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1)
-        score = np.pad(score, ((0, 0), (0, most - score.shape[1])), constant_values=np.inf)
-        for i in np.flatnonzero(short):
-            d = _distances(points, np.arange(len(points))[None], queries[i : i + 1])[0]
-            by = np.lexsort((ids[np.append(0, ends[:-1])], d))[:most]
-            found[i], score[i] = -1, np.inf
-            found[i, : len(by)], score[i, : len(by)] = by, d[by]
-    out = []
-    for i, q in enumerate(qids.tolist()):
-        near = []
-        for j in np.argsort(score[i], kind="stable"):
-            if found[i, j] < 0 or (len(near) >= k and score[i, j] > near[k - 1][0]):
-                break
-            a, b = (ends[found[i, j] - 1] if found[i, j] else 0), ends[found[i, j]]
-            # of equal vectors no more than k + 1 can matter
-            near += [(score[i, j], v, q) for v in ids[a : min(b, a + k + 1)].tolist() if v != q]
-            near.sort()
-        out += near[:k]
-    return pa.RecordBatch.from_pydict({"query_id": pa.array([r[2] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[0] for r in out], pa.float64())})
+class _Shard:
+    """A shard's graph, read from its row."""
+
+    def __init__(self, row: dict):
+        self.key = row["dim"], row["shard"]
+        self.start, dim = row["start"], row["dim"]
+        self.ids, self.ends = (np.frombuffer(row[c], np.int64) for c in ("ids", "ends"))
+        self.points = np.frombuffer(row["points"], np.float64).reshape(-1, dim)
+        self.edges = np.frombuffer(row["edges"], np.int32).reshape(-1, DEGREE)
+        self.frame = _frame(self.points)
+        self.x = _scaled(self.points, *self.frame)
+        self.sq = np.einsum("nd,nd->n", self.x, self.x)
+
+    def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+        """The k nearest of each query."""
+        points, ids, ends = self.points, self.ids, self.ends
+        found = beam(self.x, self.sq, self.edges, self.start, _scaled(queries, *self.frame), max(BEAM, 4 * k))
+        score = np.where(found < 0, np.inf, _distances(points, found, queries))
+        # the query's own point may be among them
+        short = (found >= 0).sum(axis=1) < min(k + 1, len(points))
+        if short.any():
+            most = max(found.shape[1], min(len(points), k + 1))
+            found = np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1)
+            score = np.pad(score, ((0, 0), (0, most - score.shape[1])), constant_values=np.inf)
+            for i in np.flatnonzero(short):
+                d = _distances(points, np.arange(len(points))[None], queries[i : i + 1])[0]
+                by = np.lexsort((ids[np.append(0, ends[:-1])], d))[:most]
+                found[i], score[i] = -1, np.inf
+                found[i, : len(by)], score[i, : len(by)] = by, d[by]
+        out = []
+        for i, q in enumerate(qids.tolist()):
+            near = []
+            for j in np.argsort(score[i], kind="stable"):
+                if found[i, j] < 0 or (len(near) >= k and score[i, j] > near[k - 1][0]):
+                    break
+                a, b = (ends[found[i, j] - 1] if found[i, j] else 0), ends[found[i, j]]
+                # of equal vectors no more than k + 1 can matter
+                near += [(score[i, j], v, q) for v in ids[a : min(b, a + k + 1)].tolist() if v != q]
+                near.sort()
+            out += near[:k]
+        return pa.RecordBatch.from_pydict({"query_id": pa.array([r[2] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[0] for r in out], pa.float64())})
+
+
+def _walk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by shard, its graph first and then its queries: one graph at a time is held."""
+    shard = None
+    for b in batches:
+        starts = b.column("start").to_pylist()
+        keys = list(zip(b.column("dim").to_pylist(), b.column("shard").to_pylist(), strict=True))
+        at = 0
+        while at < b.num_rows:
+            if starts[at] is not None:
+                shard = _Shard(b.slice(at, 1).to_pylist()[0])
+                at += 1
+                continue
+            end = at + 1
+            while end < min(b.num_rows, at + BLOCK) and starts[end] is None and keys[end] == keys[at]:
+                end += 1
+            # no vector of the query's length fell into this shard: none of it is near
+            if shard is not None and shard.key == keys[at]:
+                part = pa.table({"v": b.column("v").slice(at, end - at)})
+                yield shard.search(b.column("id").slice(at, end - at).to_numpy(), _matrix(part), k)
+            at = end
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
@@ -260,26 +288,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     asked = common.materialize(usable(queries), "queries")
     rows, components = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
     shards = max(1, -(-components * 8 // SHARD_BYTES), min(-(-rows // SHARD), vectors.sparkSession.sparkContext.defaultParallelism))
-    blocks = max(1, -(-asked.count() // BLOCK))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     shape = "dim int, shard int, start int, ids binary, ends binary, points binary, edges binary"
-    # few rows, much work: a task for each shard, which is not merged with others
-    index = common.materialize(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, shape), "graph")
-
-    def pack(t: pa.Table) -> pa.Table:
-        v = _matrix(t)
-        return pa.table({"dim": t.column("dim").slice(0, 1), "qids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([v.tobytes()], pa.binary())})
-
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").applyInArrow(pack, "dim int, qids binary, queries binary")
-    # the blocks of queries travel to each shard; graphs stay where they are
-    visits = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                yield _search({c: b.column(c)[i].as_py() for c in b.schema.names}, k)
-
-    found = visits.join(index, ["dim", "shard"]).repartition(shards * 4).mapInArrow(search, "query_id long, vec_id long, score double")
+    # few rows, much work: by range, so that each shard is a task of its own
+    index = common.materialize(dealt.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, shape), "graph")
+    # queries travel to every shard, behind its graph; the rows of a shard are read in that order
+    graphs = index.withColumns({"id": F.lit(None).cast("long"), "v": F.lit(None).cast("array<double>")})
+    visits = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
+    both = graphs.unionByName(visits, allowMissingColumns=True).withColumn("turn", F.col("start").isNull())
+    ordered = both.repartitionByRange(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "turn").drop("turn")
+    found = ordered.mapInArrow(lambda it: _walk(it, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

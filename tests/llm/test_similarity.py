@@ -162,7 +162,7 @@ def test_nearest_looks_at_the_whole_shard_if_the_walk_finds_too_few(spark, monke
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     row = ann._index(pa.table({"id": [r[0] for r in rows], "v": [r[1] for r in rows], "dim": pa.array([2] * 40, pa.int32()), "shard": pa.array([0] * 40, pa.int32())})).to_pylist()[0]
     row["edges"] = np.full((41, ann.DEGREE), 40, np.int32).tobytes()  # a graph without edges
-    got = ann._search(row | {"qids": np.array([5]).tobytes(), "queries": np.array([5.0, 1.0]).tobytes()}, 4)
+    got = ann._Shard(row).search(np.array([5]), np.array([[5.0, 1.0]]), 4)
     assert got.column("vec_id").to_pylist() == [4, 6, 3, 7] and df.count() == 40
 
 
