@@ -45,7 +45,7 @@ def _paper(h: int, w: int) -> np.ndarray:
 
 
 @query("""
-SELECT doc_id AS id, n AS components, 1.0 * tall AS height, (n // 6)::BIGINT AS runs, 1.0 * wide AS stroke FROM (SELECT doc_id, 24 + 6 * (doc_id % 5) AS n, 7 + doc_id % 6 AS tall, 3 + doc_id % 4 AS wide FROM documents)""")
+SELECT doc_id AS id, n AS components, tall::DOUBLE AS height, (n // 6)::BIGINT AS runs, wide::DOUBLE AS stroke FROM (SELECT doc_id, 24 + 6 * (doc_id % 5) AS n, 7 + doc_id % 6 AS tall, 3 + doc_id % 4 AS wide FROM documents)""")
 def drawn_letters(spark, d):
     """Rows of six marks: threshold, components, their median height, stroke width, rows of ink."""
 
