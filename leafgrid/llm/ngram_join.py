@@ -287,7 +287,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = members.join(several.select("grp", "n"), ["grp", "n"]).selectExpr("grp as token", "0 as part", "node", "label", "n", "0 as p")
     expand = members.join(heads.select("grp", "n", "head"), ["grp", "n"]).select("head", "node", "label")
     rows = common.materialize(lists.select("token", "part", "head", "n", "p").join(expand, "head").select("token", "part", "node", "label", "n", "p").union(own), "rows")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top")).where("lo <> hi").select("token", "top")
+    told = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("list"), "node")).alias("s2"), F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "p")).alias("f")).where("lo <> hi")
+    # near copies share many shingles, whose lists have the same members: of such lists the first in the order stands for
+    # all, as a pair's first common shingle is the one whose place tells most
+    alike = told.where("top = 0").groupBy("s1", "s2", "k").agg(F.min(F.struct("f.p", "token")).alias("best")).select("best.token", F.lit(0).alias("top"))
+    mixed = alike.union(told.where("top > 0").select("token", "top"))
     # every part meets itself and every other part of its list once
     met = rows.join(mixed, "token").selectExpr("token", "node", "label", "n", "p", "part as side", "explode(sequence(if(top > 0, 1, 0), top)) as x").selectExpr("token", "least(side, x) as part", "greatest(side, x) as other", "node", "label", "n", "p", "side")
     key = ["token", "part", "other"]
