@@ -7,14 +7,20 @@ the affix tables.  Spark broadcasts them where their size allows it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import text as T
+from leafgrid.tables import materialize
 
 MAX_COUNT, MIN_RATIO, LONGEST = 60, 3, 7
+#: Bits of a sketch (4 MB).
+BITS = 1 << 25
 
 
 def forms(phrases: DataFrame) -> DataFrame:
@@ -134,16 +140,69 @@ def surnames(tokens: DataFrame, names: DataFrame, line: list[str], order: str =
     return told.withColumn("fixed", T.match_case(F.col("core"), F.col("name"))).drop("next", "skeleton", "name")
 
 
-def one_substitution(runs: DataFrame, forms: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
-    """(key, at, variant) of windows (``words``, an array) that are no place but become one by exactly one change to a form of the same skeleton."""
-    text = F.array_join("words", " ")
-    known = places.select(F.col("place").alias("whole")).distinct()
-    open_ = runs.withColumn("whole", text).join(known, "whole", "left_anti").drop("whole")
-    each = open_.select(*key, "words", F.posexplode("words").alias("at", "word")).withColumn("skeleton", T.skeleton(F.col("word")))
-    tried = each.join(forms.select("skeleton", F.col("form").alias("variant")), "skeleton").where("variant <> word")
-    whole = F.array_join(F.transform("words", lambda x, i: F.when(i == F.col("at"), F.col("variant")).otherwise(x)), " ")
-    hits = tried.withColumn("whole", whole).join(known, "whole", "left_semi").select(*key, "at", "variant").distinct()
-    return hits.groupBy(*key).agg(F.count(F.lit(1)).alias("__hits"), F.min("at").alias("at"), F.min("variant").alias("variant")).where("__hits = 1").drop("__hits")
+def _sketch(values: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """A bitmap of fixed size of a column of strings, as a table of one row, and the test of a string against it: never false for one that is there."""
+    hashed = F.xxhash64(values.columns[0])
+    bits = values.select(F.explode(F.array(hashed.bitwiseAND(BITS - 1), F.shiftright(hashed, 32).bitwiseAND(BITS - 1))).alias("bit"))
+    each = bits.groupBy(F.shiftright("bit", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))).alias("word")).toArrow()
+    told = np.zeros(BITS // 64, np.int64)
+    told[each["i"].to_numpy()] = each["word"].to_numpy()
+
+    def bit(at: Column) -> Column:
+        word = F.get(F.col("__bits"), F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    table = values.sparkSession.createDataFrame(pa.table({"__bits": pa.array([told], pa.list_(pa.int64()))}))
+    return table, lambda c: bit(F.xxhash64(c).bitwiseAND(BITS - 1)) & bit(F.shiftright(F.xxhash64(c), 32).bitwiseAND(BITS - 1))
+
+
+def one_substitution(runs: DataFrame, forms: DataFrame, places: DataFrame, key: list[str], known: bool = False) -> DataFrame:
+    """(key, at, variant) of windows (``words``, an array; no word holds a space) that are no place but become one by exactly one change to a form of the same skeleton.
+
+    A change leaves the window's skeleton as it is, so windows meet places by
+    its hash (96 bits) alone and carry only the words that are not their own
+    skeleton.  What has no such word, nor one with such a form, has no variants
+    and stays behind; a bitmap of their skeletons tells, and what it lets pass
+    wrongly finds no place.  ``known``: each word of the windows is a form or
+    its own skeleton, each word of the places is a form, so none is checked.
+    """
+    forms = materialize(forms.select("form", "skeleton"), "forms")
+
+    def bare(texts: DataFrame, *more: str) -> DataFrame:
+        # ASCII has no marks, and most windows are ASCII
+        return texts.select(*more, "text", F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(T.skeleton(F.col("text"))).alias("plain"))
+
+    windows = bare(runs.select(*key, F.array_join("words", " ").alias("text")), *key)
+    whole = bare(places.select(F.col("place").alias("text")))
+    words, plain = F.split("text", " ", -1), F.split("plain", " ", -1)
+    live = forms.where("form <> skeleton").select("skeleton")
+    if not known:
+        strange = windows.where("text <> plain").select(F.explode(F.arrays_zip(words.alias("w"), plain.alias("s"))).alias("x")).where("x.w <> x.s")
+        live = live.union(strange.select("x.s"))
+    sketch, open_ = _sketch(live)
+
+    def met(rows: DataFrame, *more: str) -> DataFrame:
+        # a semi-join hands on none of the bitmap
+        kept = rows.join(F.broadcast(sketch), (F.col("text") != F.col("plain")) | F.exists(plain, open_), "left_semi")
+        marks = F.when(F.col("text") == F.col("plain"), "").otherwise(F.array_join(F.zip_with(words, plain, lambda w, s: F.when(w == s, "").otherwise(w)), " "))
+        return kept.select(*more, F.xxhash64("plain").alias("__k"), F.hash("plain").alias("__l"), marks.alias("__marks"))
+
+    there = met(whole).repartition("__k", "__l").groupBy("__k", "__l").agg(F.collect_set("__marks").alias("__there"))
+    both = met(windows, *key).join(there, ["__k", "__l"]).where(~F.array_contains("__there", F.col("__marks")))
+    # a mark that is not there is a word that is its own skeleton; no marks at all are one empty string
+    each = both.select(*key, F.split("__marks", " ", -1).alias("a"), F.explode("__there").alias("b")).withColumn("b", F.split("b", " ", -1))
+    size = F.greatest(F.size("a"), F.size("b"))
+
+    def word(c: str, i: Column) -> Column:
+        return F.coalesce(F.get(F.col(c), i), F.lit(""))
+
+    apart = each.withColumn("apart", F.filter(F.sequence(F.lit(0), size - 1), lambda i: word("a", i) != word("b", i))).where("size(apart) = 1").withColumn("at", F.col("apart")[0])
+    to = word("b", F.col("at"))
+    hits = apart.select(*key, "at", F.when(to == "", T.skeleton(word("a", F.col("at")))).otherwise(to).alias("variant"))
+    if not known:
+        hits = hits.join(forms.select(F.col("form").alias("variant")), "variant", "left_semi")
+    one = hits.groupBy(*key).agg(F.min(F.struct("at", "variant")).alias("__one"), F.max(F.struct("at", "variant")).alias("__last")).where("__one = __last")
+    return one.select(*key, "__one.at", "__one.variant")
 
 
 def confusions(tokens: DataFrame, forms: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,15 +28,61 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks.
+def _path(spark: SparkSession, name: str):
+    """A new table's path, as text and for Hadoop; the table goes when the driver ends, as results that are not yet computed may read it until then."""
+    path = f"{shared_dir(spark)}/leafgrid/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.deleteOnExit(there)
+    return path, lambda: store.delete(there, True)
 
-    The table goes when the driver ends, as results that are not yet computed may
-    still read it until then.
+
+def _write(df: DataFrame, path: str) -> None:
+    """Adds the rows to the table.
+
+    Nothing reads the plan's shuffles once its rows are written: their files go
+    now, not when the driver's garbage is collected.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks."""
+    path, _ = _path(df.sparkSession, name)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Chain:
+    """Tables of which each is read by the next one only: once that is written, the one before is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.drop = spark, lambda: None
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path, drop = _path(self.spark, name)
+        _write(df, path)
+        self.drop()
+        self.drop = drop
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def in_slices(make: Callable[[Column, Chain], DataFrame], spark: SparkSession, key: str, slices: int, name: str) -> DataFrame:
+    """The rows that ``make`` gives for each slice of the keys, one slice after the other, as one table.
+
+    make: takes the test for a slice's rows and a chain for its tables; only one
+    slice's tables and shuffles are on disk at a time.
+    """
+    path, _ = _path(spark, name)
+    for i in range(slices):
+        chain = Chain(spark)
+        made = make(F.pmod(F.xxhash64(key), F.lit(slices)) == i, chain)
+        _write(made, path)
+        chain.drop()
+    return spark.read.schema(made.schema).parquet(path)

@@ -110,3 +110,26 @@ def test_whole_chain_and_its_table_form(spark):
     df = spark.createDataFrame([(1, lines[0]), (2, None), (3, [])], "block_id long, tokens array<string>")
     got = {r["block_id"]: r["tokens"] for r in R.repaired(df, LEX, ["block_id"]).collect()}
     assert got == {1: ["Chuyển", "đổi"], 2: None, 3: []}
+
+
+def test_windows_and_places_are_not_shuffled_as_text(spark):
+    """Most windows have no word with variants; on the rest only marked words and hashes go along."""
+    import re
+
+    from leafgrid.plans import queries as page_queries
+    from leafgrid.plans import text_queries  # noqa: F401
+
+    told = page_queries.QUERIES["place_one_substitution"](spark, "/root/testdata/sf0.001")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and not re.search(r"Join LeftAnti|Join LeftSemi, \(whole", plan)
+
+
+def test_one_substitution_keeps_to_forms_and_whole_windows(spark):
+    from leafgrid.operators import lexicon as X
+
+    runs = [(1, ["ha", "noi", "x"]), (2, ["hà", "nội", "x"]), (3, ["ha", "nội", "x"]), (4, ["Lam", "y"]), (5, ["bă", "z"]), (6, ["ha", "nội", "y"]), (7, ["hã", "nội", "x"])]
+    forms = spark.createDataFrame([("hà", "ha"), ("nội", "noi"), ("noi", "noi"), ("x", "x"), ("lam", "lam"), ("ba", "ba")], "form string, skeleton string")
+    places = spark.createDataFrame([("hà nội x",), ("hà nội x",), ("lam y",), ("bâ z",), ("ba z",), ("há nội y",)], "place string")
+    got = X.one_substitution(spark.createDataFrame(runs, "id long, words array<string>"), forms, places, ["id"]).collect()
+    # 1 is two changes off, 2 a place; 5 has one variant that is a form; 6 would need one that is none
+    assert sorted((r["id"], r["at"], r["variant"]) for r in got) == [(3, 0, "hà"), (4, 0, "lam"), (5, 0, "ba"), (7, 0, "hà")]
