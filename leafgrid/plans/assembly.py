@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.operators import boxes as B
 from leafgrid.operators import lines as L
 from leafgrid.operators import words as W
-from leafgrid.tables import materialize
+from leafgrid.tables import Chain, in_slices
 
 PAGE = "doc_id"
 
 
-def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame) -> DataFrame:
+def assemble(words: DataFrame, cells: DataFrame, figures: DataFrame, slices: int = 1) -> DataFrame:
     """(page, block, place, text, align, size, level, bold) of the blocks of each page.
 
     words: page, line_no, word_no, word, conf, box, x_size, ratio; cells and
     figures: boxes, figures with ``photo``.  Words in cells are left to the
     tables; what photos, figures, pens and doubt leave is cut to segments, grouped
     to blocks by pitch and size, cleaned, and told its weight, size, alignment
-    and heading level.
+    and heading level.  Pages are taken in as many slices, one after the other,
+    as a row of each word and its shuffles are many times the text.
     """
+
+    def some(mine: Column, materialize: Chain) -> DataFrame:
+        return _assembled(words.where(mine), cells.where(mine), figures.where(mine), materialize)
+
+    return in_slices(some, words.sparkSession, PAGE, slices, "assembled")
+
+
+def _assembled(words: DataFrame, cells: DataFrame, figures: DataFrame, materialize: Chain) -> DataFrame:
     key = [PAGE, "line_no", "word_no"]
     # each step reads what is before it more than once, so the plan is cut where that would multiply
     free = materialize(B.outside(words, cells), "words")

@@ -313,3 +313,18 @@ def test_new_paths_come_as_often_as_in_their_sql(spark):
     assert told(["a", "b", "a", "c", None], ["c"]) == ["a", "a", "b"]
     assert told(["a", None], ["c", None]) == []
     assert told(["a", "a", None], []) == ["a", "a", "null"]
+
+
+def test_assembly_in_slices_is_whole_and_leaves_only_its_result(spark):
+    import os
+
+    from leafgrid.plans import assembly
+    from leafgrid.plans import fixtures as fx
+    from leafgrid.tables import shared_dir
+
+    here = "/root/testdata/sf0.001"
+    parts = [t.where("doc_id % 20 = 0") for t in (fx.words(spark, here).drop("bold"), fx.cells(spark, here), fx.figures(spark, here))]
+    one, two = (sorted(map(tuple, assembly.assemble(*parts, slices=n).collect())) for n in (1, 2))
+    assert one and one == two
+    left = os.listdir(shared_dir(spark).removeprefix("file:") + "/leafgrid")
+    assert not any(x.startswith(("words-", "flagged-", "clean-", "blocked-", "blocks-")) for x in left)
