@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrid.tables import materialize, shared_dir  # noqa: F401  the operators' way to them
+from leafgrid.tables import Chain, brief_shuffles, materialize, shared_dir  # noqa: F401  the operators' way to them
 
 #: ``[\x20\x09-\x0D]``, the white space of every operator here.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -61,10 +61,11 @@ def merged(df: DataFrame, local: Callable[[Iterator[pa.RecordBatch]], np.ndarray
         return pa.table({"block": t.column("block").slice(0, 1), "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     shape = "block int, part binary"
-    parts = df.mapInArrow(fold, shape).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
-    parts = parts.groupBy("block", "lane").applyInArrow(unite, shape).groupBy("block").applyInArrow(unite, shape)
+    with brief_shuffles(df.sparkSession):
+        parts = df.mapInArrow(fold, shape).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
+        rows = parts.groupBy("block", "lane").applyInArrow(unite, shape).groupBy("block").applyInArrow(unite, shape).collect()
     out = np.zeros(cells, dtype=dtype)
-    for row in parts.collect():
+    for row in rows:
         part = np.frombuffer(zlib.decompress(bytes(row["part"])), dtype=dtype)
         out[row["block"] * step : row["block"] * step + len(part)] = part
     return out

@@ -19,10 +19,15 @@ Only components are asked for, so no list is expanded into all its pairs:
 
 Lists that the sketch knows to be hot are split by a salt; the stars of the
 parts meet in a second, small star.
+
+The posts are the largest shuffle by far and most are alone in their lists:
+they go in slices of the shingles' range, one after the other, and only lists
+with more members stay.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ SKETCH_ROW, SKETCH_LEAST, SKETCH_MOST = 8, 1 << 21, 1 << 24
 BITS_ROW, BITS_LEAST, BITS_MOST = 32, 1 << 25, 1 << 30
 #: Expected members of one part of a hot list.
 PART = 4096
+#: The most slices of the posts; there is one for so many documents, rounded up to a power of two.
+SLICES, SLICE_ROWS = 4, 10_000
 
 
 def _power(n: int, least: int, most: int) -> int:
@@ -156,35 +163,62 @@ def _among(b: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
     return b.filter(pa.array((seen[byte] & bit) > 0))
 
 
+def _strings(texts: list[bytes]) -> pa.Array:
+    """A column of texts whose bytes are taken as they are."""
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
+def _unpacked(b: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of a batch with a packed column's texts, each ended by the row that brings ``most`` bytes."""
+    begin, texts, size = 0, [], 0
+    for i, x in enumerate(b.column(column)):
+        texts.append(zlib.decompress(x.as_py()))
+        size += len(texts[-1])
+        if size >= most or i + 1 == b.num_rows:
+            yield b.slice(begin, len(texts)), _strings(texts)
+            begin, texts, size = i + 1, [], 0
+    kernels.release()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, from the whole texts of one document of each class.
+    """The pairs (a, b) of nodes whose sets link, from the whole text of one document of each class.
 
-    Texts are shorter than their shingle hashes, so texts travel and the sets
-    are made where a pair meets.
+    Texts are shorter than their shingle hashes, so texts travel, packed, and
+    the sets are made where a pair meets.  A text's own set tells its node, so
+    it needs no join to get there.
     """
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    wanted = common.materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(classes.select("node", "id"), "node"), "wanted")
-    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
-    some = docs.mapInArrow(lambda it: (_among(b, seen.value) for b in it), "id long, text string")
-    texts = common.materialize(some.join(wanted, "id").select("node", "text", F.xxhash64("text").alias("th")), "texts")
+    chain = common.Chain(docs.sparkSession)
+    wanted = chain(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(classes.select("node", "id"), "node"), "wanted")
+    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("id").union(wanted.select("node"))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in kernels.pieces(_among(b, seen.value), "text"):
+                # two texts under one id: the other one is of another node
+                nodes = pa.array([_prints(s, len(s))[1] for s in kernels.shingle_sets(p.column("text"), k)], pa.int64())
+                p = _among(pa.RecordBatch.from_arrays([nodes, p.column("text")], names=["id", "text"]), seen.value)
+                data, at = kernels.buffers(p.column("text"))
+                yield pa.RecordBatch.from_arrays([p.column("id"), pa.array([zlib.compress(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "text"])
+
+    # one text of each node, dealt once for both ends of the pairs
+    texts = chain(docs.mapInArrow(pack, "node long, text binary"), "texts").dropDuplicates(["node"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own, sure = None, None, False
-        for b in (p for whole in batches for p in kernels.pieces(whole, "x")):
+        last, own = None, None
+        for b, texts in (p for whole in batches for p in _unpacked(whole, "x")):
             ok = np.zeros(b.num_rows, dtype=bool)
-            nodes = zip(*(b.column(c).to_pylist() for c in ("a", "b", "th")), strict=True)
-            for i, ((a, node, th), s) in enumerate(zip(nodes, kernels.shingle_sets(b.column("x"), k), strict=True)):
-                if (node, th) != last:  # rows of a node and text mostly follow each other
-                    last, own = (node, th), next(kernels.shingle_sets(b.column("y").slice(i, 1), k))
-                    sure = _prints(own, len(own))[1] == node
+            nodes = b.column("b").to_pylist()
+            for i, s in enumerate(kernels.shingle_sets(texts, k)):
+                if nodes[i] != last:  # rows of a node mostly follow each other
+                    last, own = nodes[i], next(kernels.shingle_sets(_strings([zlib.decompress(b.column("y")[i].as_py())]), k))
                 n = len(np.intersect1d(s, own, assume_unique=True))
-                # two texts under one id: the other one is no member of the class
-                ok[i] = sure and _prints(s, len(s))[1] == a and 100 * n >= percent * (len(s) + len(own) - n)
+                ok[i] = 100 * n >= percent * (len(s) + len(own) - n)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y"), "th"), "b")
-    return both.select("a", "b", "x", "y", "th").mapInArrow(check, "a long, b long").distinct()
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    return chain(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -207,7 +241,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = base.where("id is not null")
-    cells = _power(known.count() * SKETCH_ROW, SKETCH_LEAST, SKETCH_MOST)
+    many = known.count()
+    cells = _power(many * SKETCH_ROW, SKETCH_LEAST, SKETCH_MOST)
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(cells, dtype=np.int64)
@@ -240,7 +275,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_pydict({"id": piece.column("id")} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
 
-    signed = common.materialize(known.mapInArrow(sign, "id long, n int, high long, node long, grp long, prefix binary, parts binary"), "signed")
+    chain = common.Chain(docs.sparkSession)
+    signed = chain(known.mapInArrow(sign, "id long, n int, high long, node long, grp long, prefix binary, parts binary"), "signed")
+    sets = common.materialize(signed.select("id", "n", "node", "high"), "sets")
     # classes of equal sets, groups of equal prefix and size; every document's group
     classes = common.materialize(signed.where("n > 0").groupBy("node", "high", "grp", "n").agg(F.min("id").alias("id")), "classes")
     groups = common.materialize(classes.groupBy("grp", "n").agg(F.min(F.struct("node", "id")).alias("first"), F.count(F.lit(1)).alias("members")).select("grp", "n", "first.node", "first.id", "members"), "groups")
@@ -248,9 +285,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one row for each group posts its prefix: the bitmap spares most others the way, the join settles the rest
     heads = groups.select("id", "n", "grp", F.col("node").alias("head"))
     some = signed.where("n > 0").select("id", "n", "grp", "prefix", "parts").mapInArrow(lambda it: (_among(b, shown.value) for b in it), "id long, n int, grp long, prefix binary, parts binary")
-    posting = some.dropDuplicates(["id", "n", "grp"]).join(heads, ["id", "n", "grp"]).select("id", "head", "n", "prefix", "parts")
+    posting = chain(some.dropDuplicates(["id", "n", "grp"]).join(heads, ["id", "n", "grp"]).select("id", "head", "n", "prefix", "parts"), "posting")
+    slices = _power(many // SLICE_ROWS, 1, SLICES)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 piece = b.slice(i, 512)
@@ -261,14 +299,20 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 p = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
                 parts = np.concatenate([np.ones(k, np.int32) if x is None else np.frombuffer(x, np.int32) for k, x in zip(size, piece.column("parts").to_pylist(), strict=True)])
                 part = np.where(parts > 1, 1 + (kernels.mix(head.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"token": _i64(np.concatenate(prefix)), "part": pa.array(part), "id": pa.array(ids), "head": pa.array(head), "n": pa.array(n), "p": pa.array(p)})
+                token = np.concatenate(prefix)
+                here = (token >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32) == number
+                yield pa.RecordBatch.from_pydict({"token": _i64(token[here])} | {c: pa.array(x[here]) for c, x in (("part", part), ("id", ids), ("head", head), ("n", n), ("p", p))})
 
-    posts = posting.mapInArrow(post, "token long, part int, id long, head long, n int, p int")
     # lists with two members or more, each with its member of the smallest id, as a rule the text that others were made
     # from; parts of hot lists count from 1 and may have one
     over = Window.partitionBy("token", "part")
-    starred = posts.withColumns({"c": F.min(F.struct("id", "head", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
-    lists = common.materialize(starred.where("k > 1 or part > 0").select("token", "part", "id", "head", "n", "p", "c"), "lists")
+
+    def starred(number: int) -> DataFrame:
+        posts = posting.mapInArrow(lambda it: post(it, number), "token long, part int, id long, head long, n int, p int")
+        both = posts.withColumns({"c": F.min(F.struct("id", "head", "n", "p")).over(over), "k": F.count(F.lit(1)).over(over)})
+        return both.where("k > 1 or part > 0").select("token", "part", "id", "head", "n", "p", "c")
+
+    lists = chain.joined((starred(i) for i in range(slices)), "lists")
     # the first members of a hot list's parts meet at the first of them
     split = lists.where("part > 0 and head = c.head").select("token", "c")
     tops = split.groupBy("token").agg(F.min("c").alias("t"))
@@ -279,15 +323,15 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = groups.where("members > 1").select("grp", "n", F.col("node").alias("head"))
     within = classes.join(several, ["grp", "n"]).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     first = common.materialize(stars.union(within).distinct(), "stars")
-    links = common.materialize(_verified(first, known, classes, words, percent), "links")
+    links = _verified(first, known, classes, words, percent)
     labels = common.components(links)
 
     # lists that still hold several components, group by group expanded to their members
     members = common.materialize(classes.join(labels, "node", "left").select("grp", "n", "node", F.coalesce("label", "node").alias("label")), "members")
     own = members.join(several.select("grp", "n"), ["grp", "n"]).selectExpr("grp as token", "0 as part", "node", "label", "n", "0 as p")
     expand = members.join(heads.select("grp", "n", "head"), ["grp", "n"]).select("head", "node", "label")
-    rows = common.materialize(lists.select("token", "part", "head", "n", "p").join(expand, "head").select("token", "part", "node", "label", "n", "p").union(own), "rows")
-    told = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("list"), "node")).alias("s2"), F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "p")).alias("f")).where("lo <> hi")
+    rows = chain(lists.select("token", "part", "head", "n", "p").join(expand, "head").select("token", "part", "node", "label", "n", "p").union(own), "rows")
+    told = common.materialize(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("part").alias("top"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("list"), "node")).alias("s2"), F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "p")).alias("f")).where("lo <> hi"), "told")
     # near copies share many shingles, whose lists have the same members: of such lists the first in the order stands for
     # all, as a pair's first common shingle is the one whose place tells most
     alike = told.where("top = 0").groupBy("s1", "s2", "k").agg(F.min(F.struct("f.p", "token")).alias("best")).select("best.token", F.lit(0).alias("top"))
@@ -297,7 +341,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = ["token", "part", "other"]
     more = met.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(lambda it: _stream_pairs(it, percent), "a long, b long")
     second = common.materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "second")
-    extra = common.materialize(_verified(second, known, classes, words, percent), "links")
+    chain.drop()
+    extra = _verified(second, known, classes, words, percent)
     # components that a second link joins, as nodes of a smaller graph
     ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
     joined = extra.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -306,7 +351,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classed = classes.join(labels, "node", "left").select("node", "high", "id", F.coalesce("label", "node").alias("own")).join(merged, F.col("own") == F.col("of"), "left").select("node", "high", "id", F.coalesce("top", "own").alias("label"))
     least = classed.groupBy("label").agg(F.min("id").alias("component_id"))
     named = classed.join(least, "label").select("node", "high", "component_id")
-    out = signed.select("id", "n", "node", "high").join(named, ["node", "high"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = sets.join(named, ["node", "high"], "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     lost = base.where("id is null").mapInArrow(_sizes(words), "n_shingles long")
     return out.union(lost.select(F.lit(None).cast("long"), "n_shingles", F.lit(None).cast("long")))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,23 @@ def _path(spark: SparkSession, name: str):
     return path, lambda: store.delete(there, True)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """Adds the rows to the table.
-
-    Nothing reads the plan's shuffles once its rows are written: their files go
-    now, not when the driver's garbage is collected.
-    """
-    spark = df.sparkSession
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of plans that are made and run in here go once the rows are there, not when the driver's garbage is collected."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode("append").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Adds the rows to the table; nothing reads the plan's shuffles afterwards."""
+    with brief_shuffles(df.sparkSession):
+        df.write.mode("append").parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends, and a lost executor costs only its own tasks."""
     path, _ = _path(df.sparkSession, name)
@@ -66,8 +69,13 @@ class Chain:
         self.spark, self.drop = spark, lambda: None
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return self.joined([df], name)
+
+    def joined(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """One table of the rows of all parts, written one after the other: only one part's shuffles are on disk at a time."""
         path, drop = _path(self.spark, name)
-        _write(df, path)
+        for df in parts:
+            _write(df, path)
         self.drop()
         self.drop = drop
         return self.spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,9 @@
+import gc
+import os
 import random
 import re
+import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -174,3 +178,57 @@ def test_rows_of_an_id_with_different_texts_keep_their_links(spark):
     for order in (docs, docs[::-1]):
         got = [(r["doc_id"], r["component_id"]) for r in ngram_join.similarity_classes(table(spark, order)).collect()]
         assert sorted(got) == [(5, 5), (5, 5), (9, 5), (10, 5), (11, 11)]
+
+
+@pytest.mark.parametrize("part", [4096, 20])
+def test_slices_of_posts_lose_no_link(spark, monkeypatch, part):
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", 1)
+    docs = corpus()
+    got = Counter(tuple(r) for r in ngram_join.similarity_classes(table(spark, docs)).collect())
+    assert got == brute(docs)
+
+
+def test_join_holds_few_of_its_tables_and_shuffles_at_a_time(spark, monkeypatch, tmp_path):
+    """The most that is on disk at once, against the texts' size."""
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", 1000, raising=False)
+    rng = random.Random(6)
+    words = [f"{rng.randrange(10**9):x}" for _ in range(20000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(6000)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[:1000]]  # near copies
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    roots = [str(x.getPath()) for x in manager.localDirs()] + [common.shared_dir(spark).removeprefix("file:")]
+
+    def used():
+        total = 0
+        for root in roots:
+            for at, _, names in os.walk(root):
+                for name in names:
+                    try:
+                        total += os.lstat(f"{at}/{name}").st_size
+                    except OSError:  # it has just gone
+                        pass
+        return total
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffles of earlier tests
+    time.sleep(2)
+    floor, peak, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            peak[0] = max(peak[0], used() - floor)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(docs).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert got == {i: i if i < 6000 else i - 6000 for i in range(7000)}
+    size = sum(map(len, texts))
+    print("disk, x texts", peak[0] / size)
+    assert peak[0] < 0.8 * size
