@@ -1,4 +1,8 @@
-"""A page from its recognised words: the operators in their order, as one DataFrame plan."""
+"""A page from its recognised words: the operators in their order, as one DataFrame plan.
+
+For words, cells and figures that are tables.  Where a row is a page,
+``operators.onepass`` gives the same blocks without a shuffle.
+"""
 
 from __future__ import annotations
 
